@@ -40,7 +40,7 @@ RULES = (
     Rule("repeated_words", "100 * n_repeat_words > 30 * n_words", base=True),
     Rule("symbols", "10 * n_symbols > n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("shouting", "2 * n_upper > word_chars"),
     Rule("letters", "10 * n_letters < 6 * word_chars"),
 )
