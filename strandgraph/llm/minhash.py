@@ -9,8 +9,9 @@
 3. Each bucket gives a star: the edges from its smallest node to the others, distinct over all buckets; never all pairs.
 4. Edges are confirmed on the full sets, made anew from the texts, which travel compressed to their edges.
 5. Links make components. A star may leave members of a bucket in several components of which no two members have been
-   compared; those buckets get another star, around the next smallest member, until each bucket is one component or each of
-   its members has been a centre. So nothing is capped, and pairs that share a bucket are all decided.
+   compared. In rounds, such a bucket's members take turns as centres, drawn by a hash, and are compared with those of other
+   components, until the bucket is one component or all have been centres. So nothing is capped, all pairs that share a
+   bucket are decided, and a round makes at most a fixed number of pairs for each row that it reads.
 
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than n are one shingle. Rows that
 share an id are one document with several texts, linked with whatever one of them is linked with. A row with a null id is
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, free_name, text_or_empty
@@ -31,6 +32,8 @@ from .components import components
 from .word_hashes import Chunk, chunks, grams, mix
 
 BINS, BANDS, BAND_ROWS = 256, 42, 6
+#: Centres of a bucket in the round after the stars; each further round takes four times as many.
+CENTRES = 32
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (80, 100)
 
@@ -133,15 +136,19 @@ def confirmed(edges: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
     return of_a.select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _next_centres(members: DataFrame, centres: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, centre): the next star's centre in each bucket that still has two components and two members to compare."""
-    label = F.coalesce("component", "node")
-    open_ = members.join(centres, "bucket").join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    # the centre that was is compared with all; the members after it count, and those before it were centres
-    later = open_.filter(F.col("node") > F.col("centre")).groupBy("bucket").agg(
-        F.min("node").alias("centre"), F.max("node").alias("top"), F.min(label).alias("c0"), F.max(label).alias("c1")
-    )
-    return cut(later.filter("centre <> top AND c0 <> c1").select("bucket", "centre"))
+def _share(bucket: str, node: str) -> Column:
+    """A number in [0, 1) for a member of a bucket."""
+    return F.pmod(F.xxhash64(F.col(bucket), F.col(node)), F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
+def _open(members: DataFrame, labels: DataFrame, buckets: DataFrame) -> DataFrame:
+    """(bucket, node, component, m, share): the members of buckets that hold two components and three nodes or more."""
+    of = labels.select(F.col("node").alias("of"), F.col("component").alias("label"))
+    labelled = members.join(of, F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("component"), "bands")
+    spread = labelled.select("node", "component", F.explode("bands").alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    open_ = cut(sizes.filter("m > 2 AND c0 <> c1").select(F.col("bucket").alias("b0"), "m").join(buckets, F.col("b0") == buckets["bucket"], "left_semi"))
+    return cut(spread.join(open_, F.col("bucket") == F.col("b0")).select("bucket", "node", "component", "m", _share("bucket", "node").alias("share")))
 
 
 def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -151,29 +158,31 @@ def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "t
     filled = sets.filter("n_shingles > 0 AND key IS NOT NULL")
     nodes = cut(filled.groupBy("d1", "d2").agg(F.min("key").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")))
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = cut(
-        members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("top")).filter("centre <> top").select("bucket", "centre")
-    )
-    tried = links = labels = None
-    while not centres.isEmpty():
-        star = members.join(centres, "bucket").filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-        if tried is not None:
-            of = labels.select(F.col("node").alias("of"), "component")
-            ca, cb = of.select(F.col("of").alias("oa"), F.col("component").alias("ca")), of.select(F.col("of").alias("ob"), F.col("component").alias("cb"))
-            star = star.join(ca, F.col("a") == F.col("oa"), "left").join(cb, F.col("b") == F.col("ob"), "left")
-            star = star.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
-        star = cut(star)
+    centres = cut(members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("top")).filter("centre <> top").select("bucket", "centre"))
+    star = members.join(centres, "bucket").filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    tried = cut(star)
+    links = cut(confirmed(tried, keyed, n))
+    labels = components(links)
+    buckets = centres.select("bucket")
+    done, more = 0, CENTRES
+    rest = _open(nodes, labels, buckets)
+    while not rest.isEmpty():
+        # of a bucket of m, the members with a share in [done / m, (done + more) / m) are centres now; all of a small one
+        up = rest.filter((F.col("share") * F.col("m") >= done) & (F.col("share") * F.col("m") < done + more))
+        up = up.select(F.col("bucket").alias("of"), F.col("node").alias("centre"), F.col("component").alias("theirs"))
+        pairs = rest.join(up, F.col("bucket") == F.col("of")).filter("component <> theirs")
+        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        star = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        done, more = done + more, more * 4
+        tried = cut(tried.union(star))
         found = cut(confirmed(star, keyed, n))
-        tried = star if tried is None else tried.union(star)
-        links = found if links is None else links.union(found)
-        labels = components(links)
-        centres = _next_centres(members, centres, labels)
+        if not found.isEmpty():
+            links = cut(links.union(found))
+            labels = components(links)
+        rest = _open(nodes, labels, buckets).filter(F.col("m") > done)
     groups = nodes.select("d1", "d2", "node")
-    if labels is not None:
-        groups = groups.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-        groups = groups.select("d1", "d2", "node", F.coalesce("component", "node").alias("component"))
-    else:
-        groups = groups.withColumn("component", F.col("node"))
+    groups = groups.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    groups = groups.select("d1", "d2", F.coalesce("component", "node").alias("component"))
     # rows that share an id are one document: their groups' nodes may differ only if their sets do
     groups = cut(groups.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component"))
     rows = sets.select("key", "n_shingles", "d1", "d2")

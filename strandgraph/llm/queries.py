@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licences, mixing, quality_rules, sentencepieces, token_counts
+from . import licences, minhash, mixing, quality_rules, sentencepieces, substring_dedup, token_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,17 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("the_rest.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4)
+    kept = F.coalesce(F.col("key") == F.col("component"), F.lit(True))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -35,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_sentencepiece, op9_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_sentencepiece, op4_substring_dedup, op6_minhash, op9_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
