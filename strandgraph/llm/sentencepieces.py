@@ -29,21 +29,33 @@ MEMO_LENGTH = 48
 
 
 class Codec:
-    """Encodes and decodes with one model."""
+    """Encodes and decodes with one model. A character that has no piece counts as the piece number_of_pieces + its code."""
 
     def __init__(self, model: bytes):
         import ahocorasick
 
         self.pieces = p = Pieces(model)
+        self.size = len(p.surface)
         self.automaton = ahocorasick.Automaton()
-        for piece, i in p.ids.items():
-            if self.merged(piece) == [piece]:
-                self.automaton.add_word(piece, (i, len(piece)))
+        own = {piece: i for piece, i in p.ids.items() if self.merged(piece) == [piece]}
+        for piece, i in own.items():
+            self.automaton.add_word(piece, i)
         self.automaton.make_automaton()
-        self.pair = Memo(lambda ab: self.merged(ab[0] + ab[1]) == [ab[0], ab[1]], MEMO_PAIRS)
+        self.length = [len(s) for s in p.surface]
+        #: The longest piece that is a beginning of this one, else its first character, else -1.
+        self.shorter = [-1] * self.size
+        for piece, i in own.items():
+            if len(piece) > 1:
+                begins = (own.get(piece[:k]) for k in range(len(piece) - 1, 0, -1))
+                self.shorter[i] = next((b for b in begins if b is not None), self.size + ord(piece[0]))
+        self.pair = Memo(self.fits, MEMO_PAIRS)
         self.chunk = Memo(self.encode_chunk, MEMO_CHUNKS)
-        self.text_of = [s.replace(SPACE, " ") if k == "normal" else "" for s, k in zip(p.surface, p.kind)]
+        self.digits = [str(i) for i in range(self.size)]
         self.byte_of = {i: b for b, i in p.byte_ids.items()}
+        self.bytes_of = [
+            bytes([self.byte_of[i]]) if k == "byte" else " ⁇ ".encode() if k == "unknown" else s.replace(SPACE, " ").encode() if k == "normal" else b"\xff"
+            for i, (s, k) in enumerate(zip(p.surface, p.kind))
+        ]
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a short text: used for single pieces and pairs of them."""
@@ -59,93 +71,88 @@ class Codec:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _string(self, i: int) -> str:
+        return self.pieces.surface[i] if i < self.size else chr(i - self.size)
+
+    def fits(self, key: int) -> bool:
+        """Whether merging leaves two neighbours as they are; key is the left one * 2**21 + the right one."""
+        a, b = self._string(key >> 21), self._string(key & (1 << 21) - 1)
+        return self.merged(a + b) == [a, b]
+
     def encode_chunk(self, text: str) -> list[int]:
-        n, pair = len(text), self.pair
-        starts: list[list[int]] = [[] for _ in range(n)]  # lengths of the pieces that start there, ascending
-        found: dict[tuple[int, int], int] = {}
-        for end, (i, length) in self.automaton.iter(text):
-            starts[end - length + 1].append(length)
-            found[end - length + 1, length] = i
-        for at, lengths in enumerate(starts):
-            if not lengths or lengths[0] != 1:
-                lengths.insert(0, 1)  # a character without a piece
+        n, size, length, shorter, pair = len(text), self.size, self.length, self.shorter, self.pair
+        longest = [-1] * n
+        for end, i in self.automaton.iter(text):  # by end, so the last one at a start is the longest
+            longest[end + 1 - length[i]] = i
         dead = bytearray(n // 8 + 1)
-        cuts, tried = [0], []  # borders so far; for each piece its place among the lengths at its start
-        at, left, k = 0, "", len(starts[0]) - 1
+        out: list[int] = []
+        at, left, strange = 0, -1, False
+        i = longest[0]
         while at < n:
-            lengths = starts[at]
-            while k >= 0:
-                end = at + lengths[k]
-                if not dead[end >> 3] >> (end & 7) & 1:
-                    piece = text[at:end]
-                    if not left or pair((left, piece)):
-                        break
-                k -= 1
-            if k >= 0:
-                cuts.append(end)
-                tried.append(k)
-                at, left = end, piece
-                k = len(starts[at]) - 1 if at < n else 0
-            else:
+            if i == -2:  # all that starts here has been tried
                 dead[at >> 3] |= 1 << (at & 7)
-                cuts.pop()
-                k = tried.pop() - 1
-                at = cuts[-1]
-                left = text[cuts[-2] : at] if len(cuts) > 1 else ""
-        out: list[int] = []
-        for a, b in zip(cuts, cuts[1:]):
-            i = found.get((a, b - a))
-            if i is None:
-                out += self.pieces.fallback(text[a:b])
-            else:
+                i = out.pop()
+                at -= length[i] if i < size else 1
+                left = out[-1] if out else -1
+                i = -2 if i >= size or shorter[i] < 0 else shorter[i]
+                continue
+            if i == -1:
+                i = size + ord(text[at])
+            end = at + (length[i] if i < size else 1)
+            if not dead[end >> 3] >> (end & 7) & 1 and (left < 0 or pair.young.get(left << 21 | i) or pair(left << 21 | i)):
                 out.append(i)
-        return out
+                strange |= i >= size
+                left, at = i, end
+                if at < n:
+                    i = longest[at]
+            else:
+                i = -2 if i >= size or shorter[i] < 0 else shorter[i]
+        return [j for i in out for j in ([i] if i < size else self.pieces.fallback(chr(i - size)))] if strange else out
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
+        memo = self.chunk
+        young = memo.young
         for chunk in self.pieces.chunks(self.pieces.normalised(text or "")):
-            out += self.chunk(chunk) if len(chunk) <= MEMO_LENGTH else self.encode_chunk(chunk)
+            ids = young.get(chunk)
+            if ids is None:
+                ids = memo(chunk) if len(chunk) <= MEMO_LENGTH else self.encode_chunk(chunk)
+                young = memo.young
+            out += ids
         return out
 
+    def joined(self, ids: list[int]) -> str:
+        return ",".join(map(self.digits.__getitem__, ids))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids: byte pieces as UTF-8, an invalid byte as U+FFFD, without the space that was put before."""
-        texts, byte_of, surface = self.text_of, self.byte_of, self.pieces
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(_utf8(run))
-                run = bytearray()
-            out.append(" ⁇ " if i == surface.unknown else texts[i])
-        if run:
-            out.append(_utf8(run))
-        whole = "".join(out)
-        first = next((i for i in ids if surface.kind[i] != "control"), None)
-        return whole[1:] if first is not None and surface.surface[first].startswith(SPACE) else whole
-
-
-def _utf8(run: bytearray) -> str:
+        kind, surface = self.pieces.kind, self.pieces.surface
+        try:
+            whole = b"".join(map(self.bytes_of.__getitem__, ids)).decode()  # byte pieces and controls alone can be invalid
+        except UnicodeDecodeError:
+            whole, at = "", 0
+            for end in [k for k, i in enumerate(ids) if kind[i] == "control"] + [len(ids)]:
+                whole += _utf8(b"".join(map(self.bytes_of.__getitem__, ids[at:end])))
+                at = end + 1
+        first = next((i for i in ids if kind[i] != "control"), None)
+        return whole[1:] if first is not None and kind[first] == "normal" and surface[first].startswith(SPACE) else whole
+
+
+def _utf8(run: bytes) -> str:
     """Valid characters as they are; each byte that belongs to none as U+FFFD."""
-    try:
-        return run.decode()
-    except UnicodeDecodeError:
-        out, k = [], 0
-        while k < len(run):
-            for size in (1, 2, 3, 4):
-                try:
-                    out.append(bytes(run[k : k + size]).decode())
-                    k += size
-                    break
-                except UnicodeDecodeError:
-                    continue
-            else:
-                out.append("�")
-                k += 1
-        return "".join(out)
+    out, k = [], 0
+    while k < len(run):
+        for size in (1, 2, 3, 4):
+            try:
+                out.append(run[k : k + size].decode())
+                k += size
+                break
+            except UnicodeDecodeError:
+                continue
+        else:
+            out.append("�")
+            k += 1
+    return "".join(out)
 
 
 _codecs: dict[str, Codec] = {}
@@ -178,7 +185,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
                 columns = {
                     key: part.column(0),
                     "n_tokens": pa.array([len(i) for i, _ in rows], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(",".join(map(str, i)).encode()).hexdigest() for i, _ in rows], pa.string()),
+                    "ids_sha256": pa.array([hashlib.sha256(c.joined(i).encode()).hexdigest() for i, _ in rows], pa.string()),
                     "decoded_sha256": pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in rows], pa.string()),
                 }
                 if with_ids:
