@@ -48,7 +48,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Chunk:
     """Some texts' words. hashes: by lane, of all words in order. starts: the first word of each text, and the end.
 
-    begins, ends: the bytes of each word in data.
+    begins, ends: the bytes of each word in data; offsets: those of each text.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lanes: int, lower: bool):
@@ -64,7 +64,7 @@ class Chunk:
         last[:-1] &= ~word[1:] | first[1:]
         self.ends = np.flatnonzero(last) + 1
         self.starts = np.searchsorted(self.begins, offsets)
-        self.data = data
+        self.data, self.offsets = data, offsets
         self.hashes: list[np.ndarray] = []
         if not len(self.begins):
             self.hashes = [np.zeros(0, np.uint64) for _ in range(lanes)]
