@@ -6,12 +6,13 @@
    similarity 0.8 meets in none with a probability of 3e-6.
 2. Documents of equal sets are one node, its smallest id; sets are summed up before the shuffle, so thousands of copies
    cost a row a partition.
-3. Each bucket gives a star: the edges from its smallest node to the others, distinct over all buckets; never all pairs.
-4. Edges are confirmed on the full sets, made anew from the texts, which travel compressed to their edges.
-5. Links make components. A star may leave members of a bucket in several components of which no two members have been
-   compared. In rounds, such a bucket's members take turns as centres, drawn by a hash, and are compared with those of other
-   components, until the bucket is one component or all have been centres. So nothing is capped, all pairs that share a
-   bucket are decided, and a round makes at most a fixed number of pairs for each row that it reads.
+3. Each bucket gives a star: the edges from its hub to the others, distinct over all buckets; never all pairs.
+4. A star's members are cut into blocks by a hash; a task has one block and the hub, or two blocks, whatever the size of the
+   star. There links are confirmed on the full sets, made anew from the texts, which travel compressed; only which node is
+   joined with which leaves a task.
+5. Members that the first pass leaves outside their hub's component are compared, block by block, with all members of the
+   star. Two documents that share a bucket are in its hub's star, so each such pair is decided or in one component already;
+   nothing is capped.
 
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than n are one shingle. Rows that
 share an id are one document with several texts, linked with whatever one of them is linked with. A row with a null id is
@@ -32,8 +33,8 @@ from .components import components
 from .word_hashes import Chunk, chunks, grams, mix
 
 BINS, BANDS, BAND_ROWS = 256, 42, 6
-#: Centres of a bucket in the round after the stars; each further round takes four times as many.
-CENTRES = 32
+#: Members of a star in a block; a task holds two blocks at most.
+BLOCK = 256
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (80, 100)
 
@@ -104,51 +105,93 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["key", "blob"])
 
 
-def confirmed(edges: DataFrame, keyed: DataFrame, n: int) -> DataFrame:
-    """The rows (a, b) of edges whose full sets reach the similarity."""
+def _joined(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A label for each set, equal for those that links join, among pairs of one of left and one of right (row numbers)."""
     part, whole = SIMILARITY
-    packed = keyed.filter("key IS NOT NULL").select("key", "the_text").mapInArrow(_pack, "key bigint, blob binary")
-    of_b = edges.join(packed.select(F.col("key").alias("kb"), F.col("blob").alias("blob_b")), F.col("b") == F.col("kb")).drop("kb")
-    of_a = of_b.join(packed.select(F.col("key").alias("ka"), F.col("blob").alias("blob_a")), F.col("a") == F.col("ka"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = np.array([len(s) for s in sets])
+    kinds, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = counts > 1
+    number = np.cumsum(common) - 1  # shingles of one set only can't be common to a pair
+    row, chosen = np.repeat(np.arange(len(sets)), sizes), common[column]
+    table = np.zeros((len(sets), int(common.sum())), np.float32)
+    table[row[chosen], number[column[chosen]]] = 1
+    both = np.rint(table[left] @ table[right].T).astype(np.int64)
+    i, j = np.nonzero(whole * both >= part * (sizes[left][:, None] + sizes[right][None, :] - both))
+    i, j = left[i], right[j]
+    label = np.arange(len(sets))
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, i, label[j])
+        np.minimum.at(lower, j, label[i])
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _linked(n: int):
+    """Links (node, low) within each task (hub, task): rows with side 0 or 2 against rows with side 1 or 2, by full sets."""
+
+    def group(rows: list[tuple]) -> pa.RecordBatch | None:
         import zstandard
 
         d = zstandard.ZstdDecompressor()
-        last, held = None, None
-
-        def shingles(blob: bytes) -> np.ndarray:
-            text = pa.array([d.decompress(blob).decode()], pa.large_string())
-            return next(shingle_sets(next(chunks(text, lower=True))[1], n))
+        nodes = np.array([r[0] for r in rows])
+        sides = np.array([r[1] for r in rows])
+        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        if not len(left) or not len(right) or len(rows) < 2:
+            return None
+        texts = pa.array([d.decompress(r[2]).decode() for r in rows], pa.large_string())
+        label = _joined([s for _, chunk in chunks(texts, lower=True) for s in shingle_sets(chunk, n)], left, right)
+        keep = np.flatnonzero(label != np.arange(len(rows)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(nodes[label[keep]], pa.int64())], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
         for batch in batches:
-            keep = []
-            for blob_a, blob_b in zip(batch.column(2), batch.column(3)):
-                raw = blob_a.as_py()
-                if raw != last:
-                    last, held = raw, shingles(raw)
-                other = shingles(blob_b.as_py())
-                low, high = sorted((len(held), len(other)))
-                common = 0 if whole * low < part * high else len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(common > 0 and whole * common >= part * (low + high - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for hub, task, node, side, blob in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                if (hub, task) != key:
+                    if rows and (out := group(rows)):
+                        yield out
+                    key, rows = (hub, task), []
+                rows.append((node, side, blob))
+        if rows and (out := group(rows)):
+            yield out
+
+    return run
 
-    return of_a.select("a", "b", "blob_a", "blob_b").mapInArrow(run, "a bigint, b bigint")
 
+def _confirm(tasks: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """(a, b): links found in tasks (hub, task, node, side)."""
+    full = tasks.join(texts, tasks["node"] == texts["key"]).select("hub", "task", "node", "side", "blob")
+    dealt = full.repartition("hub", "task").sortWithinPartitions("hub", "task")
+    return cut(dealt.mapInArrow(_linked(n), "a bigint, b bigint"))
 
-def _share(bucket: str, node: str) -> Column:
-    """A number in [0, 1) for a member of a bucket."""
-    return F.pmod(F.xxhash64(F.col(bucket), F.col(node)), F.lit(1 << 52)).cast("double") / float(1 << 52)
 
+def _stars(nodes: DataFrame) -> DataFrame:
+    """(hub, node, m): the distinct star edges of all buckets, each hub with itself too; m is how many the hub has.
 
-def _open(members: DataFrame, labels: DataFrame, buckets: DataFrame) -> DataFrame:
-    """(bucket, node, component, m, share): the members of buckets that hold two components and three nodes or more."""
-    of = labels.select(F.col("node").alias("of"), F.col("component").alias("label"))
-    labelled = members.join(of, F.col("node") == F.col("of"), "left").select("node", F.coalesce("label", "node").alias("component"), "bands")
-    spread = labelled.select("node", "component", F.explode("bands").alias("bucket"))
-    sizes = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    open_ = cut(sizes.filter("m > 2 AND c0 <> c1").select(F.col("bucket").alias("b0"), "m").join(buckets, F.col("b0") == buckets["bucket"], "left_semi"))
-    return cut(spread.join(open_, F.col("bucket") == F.col("b0")).select("bucket", "node", "component", "m", _share("bucket", "node").alias("share")))
+    The hub of a bucket is its member that shares buckets with most others, of equal ones the smallest id: in a family of
+    edited copies that is one near their origin, which most of them are linked with.
+    """
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    sizes = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+    shared = cut(members.join(sizes, "bucket").select("bucket", "node", "size"))
+    weight = cut(shared.groupBy("node").agg(F.sum("size").alias("weight")))
+    weighed = shared.select("bucket", "node").join(weight.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+    best = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("best"))
+    hubs = cut(best.select(F.col("bucket").alias("b0"), (-F.col("best.less")).alias("hub")))
+    edges = cut(shared.select("bucket", "node").join(hubs, F.col("bucket") == F.col("b0")).select("hub", "node").distinct())
+    counts = cut(edges.groupBy(F.col("hub").alias("h0")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    return cut(edges.join(counts, F.col("hub") == F.col("h0")).select("hub", "node", "m"))
+
+
+def _parts(m: str | Column) -> Column:
+    return F.ceil((F.col(m) if isinstance(m, str) else m) / BLOCK).cast("int")
+
+
+def _dealt(parts: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), parts).cast("int")
 
 
 def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,35 +199,31 @@ def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "t
     keyed = docs.select(docs[key].cast("bigint").alias("key"), text_or_empty(docs, text).alias("the_text"))
     sets = cut(signatures(keyed, n))
     filled = sets.filter("n_shingles > 0 AND key IS NOT NULL")
-    nodes = cut(filled.groupBy("d1", "d2").agg(F.min("key").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")))
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    centres = cut(members.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("top")).filter("centre <> top").select("bucket", "centre"))
-    star = members.join(centres, "bucket").filter("node > centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    tried = cut(star)
-    links = cut(confirmed(tried, keyed, n))
-    labels = components(links)
-    buckets = centres.select("bucket")
-    done, more = 0, CENTRES
-    rest = _open(nodes, labels, buckets)
-    while not rest.isEmpty():
-        # of a bucket of m, the members with a share in [done / m, (done + more) / m) are centres now; all of a small one
-        up = rest.filter((F.col("share") * F.col("m") >= done) & (F.col("share") * F.col("m") < done + more))
-        up = up.select(F.col("bucket").alias("of"), F.col("node").alias("centre"), F.col("component").alias("theirs"))
-        pairs = rest.join(up, F.col("bucket") == F.col("of")).filter("component <> theirs")
-        pairs = pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        star = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-        done, more = done + more, more * 4
-        tried = cut(tried.union(star))
-        found = cut(confirmed(star, keyed, n))
-        if not found.isEmpty():
-            links = cut(links.union(found))
-            labels = components(links)
-        rest = _open(nodes, labels, buckets).filter(F.col("m") > done)
-    groups = nodes.select("d1", "d2", "node")
-    groups = groups.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    groups = groups.select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    # rows that share an id are one document: their groups' nodes may differ only if their sets do
-    groups = cut(groups.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), "component"))
+    nodes = cut(filled.groupBy("d1", "d2").agg(F.min("key").alias("node"), F.first("bands").alias("bands")))
+    stars = _stars(nodes)
+    wanted = stars.select(F.col("node").alias("want")).distinct()
+    packed = keyed.filter("key IS NOT NULL").select("key", "the_text").mapInArrow(_pack, "key bigint, blob binary")
+    texts = cut(packed.join(wanted, F.col("key") == F.col("want"), "left_semi"))
+    # each block of a star with its hub: all pairs of a block are compared at once, as its texts are there
+    own = F.when(F.col("hub") == F.col("node"), F.sequence(F.lit(0), _parts("m") - 1)).otherwise(F.array(_dealt(_parts("m"))))
+    first = stars.select("hub", F.explode(own).alias("task"), "node", F.lit(2).alias("side"))
+    links = _confirm(first, texts, n)
+    # what isn't in its hub's component by now is compared with all blocks of the star
+    of = components(links).select(F.col("node").alias("of"), "component")
+    known = stars.join(of, F.col("node") == F.col("of"), "left").select("hub", "node", "m", F.coalesce("component", "node").alias("component"))
+    known = cut(known)
+    centre = known.filter("hub = node").select(F.col("hub").alias("h0"), F.col("component").alias("theirs"))
+    judged = cut(known.join(centre, F.col("hub") == F.col("h0")).select("hub", "node", "m", (F.col("component") != F.col("theirs")).alias("apart")))
+    left_over = cut(judged.filter("apart").groupBy(F.col("hub").alias("h1")).agg(F.count(F.lit(1)).alias("k")))
+    both = judged.join(left_over, F.col("hub") == F.col("h1")).filter("m > 2")
+    places = _parts("m")
+    rows = both.filter("apart").select("hub", "node", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), places - 1)).alias("j"), _dealt(_parts("k")).alias("i"))
+    columns = both.select("hub", "node", F.lit(1).alias("side"), _dealt(places).alias("j"), F.explode(F.sequence(F.lit(0), _parts("k") - 1)).alias("i"))
+    second = rows.unionByName(columns).select("hub", (F.col("i").cast("bigint") * (1 << 31) + F.col("j")).alias("task"), "node", "side")
+    links = links.union(_confirm(second, texts, n))
+    labels = components(links).select(F.col("node").alias("of"), "component")
+    groups = nodes.select("d1", "d2", "node").join(labels, F.col("node") == F.col("of"), "left")
+    groups = cut(groups.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "node").alias("component")))
     rows = sets.select("key", "n_shingles", "d1", "d2")
     at = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n_shingles") > 0) & F.col("key").isNotNull()
     return rows.join(groups, at, "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))
