@@ -20,6 +20,7 @@ from . import (
     token_counts,
 )
 from .common import table
+from .oracle import oracle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,5 +76,4 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_token_counts, op2_license_scans, op3_sentencepiece, op4_substring_dedup, op5_quality_classifier, op6_minhash, op7_cap_filters, op8_html_extraction, op9_quality_rules, op10_mixing)}
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
