@@ -74,8 +74,8 @@ def _vectors() -> str:
 
 
 def _rules() -> str:
-    fails = " or ".join(f"({r.fails})" for r in RULES)
-    base = " or ".join(f"({r.fails})" for r in RULES if r.base)
+    fails = " or ".join(f"({r.sql()})" for r in RULES)
+    base = " or ".join(f"({r.sql()})" for r in RULES if r.base)
     return f"""with w as (select doc_id, coalesce(text,'') t, {_WORDS} ws from documents),
  win as (select doc_id, i, array_to_string(ws[i:i+7], ' ') k from (select *, unnest(range(1, greatest(len(ws)-6, 1))) i from w)),
  rep as (select doc_id, count(distinct i+j) n from (select doc_id, i, count(*) over (partition by doc_id, k) c from win), range(8) z(j) where c > 1 group by doc_id),

@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each document is measured by cheap expressions over its words and lines. A rule is a predicate over those measures that
-is true where a document fails. The cascade estimates on a bounded sample what each rule costs (seconds a row) and how
-many documents it rejects, sorts the rules by rejections per cost, and nests them in CASE WHEN, so that a document is
-judged by no rule after the first that rejects it. The order changes the time that it takes, never the verdict.
+A rule compares a weighted sum of measures of a document (counts over its characters, words and lines) with a bound. The
+cascade estimates on a bounded sample what each rule costs (seconds a row) and how many documents it rejects, and sorts the
+rules by rejections per cost. A document that a rule rejects is measured for none after it: filters stand in that order, each
+above the measures that it is the first to need, or branches of one CASE WHEN. The order changes the time, never the verdict.
 
 Defined results: a null or empty text has no words and fails ``min_words``. Null ids, ties, repeated rows and empty
 tables need no rule of their own: every row is judged by itself. Columns of the input are kept; a clash with a measure's
@@ -13,6 +13,7 @@ name is solved by a prefix of underscores.
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,26 +29,29 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rule:
-    """fails: SQL over the measures. base: one of the contract's two base rules."""
+    """A document fails if the sum of weight * measure is above the bound. base: one of the contract's two base rules."""
 
     name: str
-    fails: str
+    weights: dict[str, int]
+    bound: int = 0
     base: bool = False
 
+    def sql(self) -> str:
+        return " + ".join(f"({w}) * {m}" for m, w in self.weights.items()) + f" > {self.bound}"
+
 
 RULES = (
-    Rule("min_words", "n_words < 20", base=True),
-    Rule("repeated_words", "100 * n_repeat_words > 30 * n_words", base=True),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
-    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
-    Rule("shouting", "2 * n_upper > word_chars"),
-    Rule("letters", "10 * n_letters < 6 * word_chars"),
+    Rule("min_words", {"n_words": -1}, -20, base=True),
+    Rule("repeated_words", {"n_repeat_words": 100, "n_words": -30}, base=True),
+    Rule("symbols", {"n_symbols": 10, "n_words": -1}),
+    Rule("short_words", {"n_words": 2, "word_chars": -1}),
+    Rule("long_words", {"word_chars": 1, "n_words": -15}),
+    Rule("duplicate_lines", {"n_dup_lines": 2, "n_lines": -1}),
+    Rule("shouting", {"n_upper": 2, "word_chars": -1}),
+    Rule("letters", {"word_chars": 6, "n_letters": -10}),
 )
-
-
-def _get(array: Column, at: Column) -> Column:
-    return F.get(array, at)
+#: Measures of the contract, in every row of judge().
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def repeated_words(words: str, windows: str, n: int = WINDOW) -> tuple[Column, Column]:
@@ -62,86 +66,110 @@ def repeated_words(words: str, windows: str, n: int = WINDOW) -> tuple[Column, C
     ).otherwise(F.array().cast("array<bigint>"))
     by_hash = F.sort_array(F.transform(F.col(windows), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     pairs = F.transform(F.array(by_hash), lambda s: F.sort_array(F.array_compact(F.transform(
-        s, lambda e, k: F.when((_get(s, k - 1)["h"] == e["h"]) | (_get(s, k + 1)["h"] == e["h"]), e["i"])))))
+        s, lambda e, k: F.when((F.get(s, k - 1)["h"] == e["h"]) | (F.get(s, k + 1)["h"] == e["h"]), e["i"])))))
     covered = F.transform(pairs, lambda p: F.aggregate(
-        F.transform(p, lambda i, k: F.least(F.lit(n), F.coalesce(_get(p, k + 1) - i, F.lit(n)))), F.lit(0).cast("bigint"), lambda a, x: a + x))
+        F.transform(p, lambda i, k: F.least(F.lit(n), F.coalesce(F.get(p, k + 1) - i, F.lit(n)))), F.lit(0).cast("bigint"), lambda a, x: a + x))
     once = F.size(F.array_distinct(F.col(windows))) == F.size(F.col(windows))
     return hashes, F.when(once, F.lit(0).cast("bigint")).otherwise(F.element_at(covered, 1))
 
 
-def measures(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """docs with a column for each measure; the second value maps a measure's name to the column's."""
-    own = {m: free_name(docs, m) for m in (
-        "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters",
-        "the_text", "the_words", "the_windows", "the_lines")}
-    hashes, repeats = repeated_words(own["the_words"], own["the_windows"])
-    t = F.col(own["the_text"])
-    without = lambda characters: F.length(t) - F.length(F.translate(t, characters, ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    df = docs.withColumn(own["the_text"], text_or_empty(docs, text))
-    df = df.withColumns({own["the_words"]: F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), own["the_lines"]: lines})
-    df = df.withColumn(own["the_windows"], hashes)
-    df = df.withColumns({
-        own["n_words"]: F.size(own["the_words"]).cast("bigint"),
-        own["word_chars"]: F.length(F.translate(t, SEPARATORS, "")).cast("bigint"),
-        own["n_symbols"]: without(SYMBOLS).cast("bigint"),
-        own["n_lines"]: F.size(own["the_lines"]).cast("bigint"),
-        own["n_dup_lines"]: (F.size(own["the_lines"]) - F.size(F.array_distinct(own["the_lines"]))).cast("bigint"),
-        own["n_repeat_words"]: repeats,
-        own["n_upper"]: F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")).cast("bigint"),
-        own["n_letters"]: F.length(F.regexp_replace(t, "[^\\p{L}]+", "")).cast("bigint"),
-    })
-    return df.drop(*(own[k] for k in ("the_text", "the_words", "the_windows", "the_lines"))), own
-
-
-def _failing(rule: Rule, own: dict[str, str]) -> Column:
-    sql = rule.fails
-    for measure, column in own.items():
-        if measure != column:
-            sql = " ".join(f"`{column}`" if w == measure else w for w in sql.split(" "))
-    return F.expr(sql)
+def _lines(t: Column) -> Column:
+    return F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
+
+
+#: Measures that are one expression over the text.
+_PLAIN = {
+    "n_words": lambda t: F.size(F.regexp_extract_all(t, F.lit(WORD), F.lit(0))),
+    "word_chars": lambda t: F.length(F.translate(t, SEPARATORS, "")),
+    "n_symbols": lambda t: F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+    "n_lines": lambda t: F.size(_lines(t)),
+    "n_upper": lambda t: F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")),
+    "n_letters": lambda t: F.length(F.regexp_replace(t, "[^\\p{L}]+", "")),
+}
+
+
+def _once(measure: Column) -> Column:
+    """The measure as a column that the optimizer doesn't write out again in each filter and expression above it."""
+    return F.when(F.monotonically_increasing_id() < 0, F.lit(0).cast("bigint")).otherwise(measure)
+
+
+class Measures:
+    """A table, its text and the measures taken so far, by the name of their column."""
+
+    def __init__(self, docs: DataFrame, text: str = "text"):
+        self.the_text = free_name(docs, "the_text")
+        self.df = docs.withColumn(self.the_text, text_or_empty(docs, text))
+        self.columns: dict[str, str] = {}
+
+    def expression(self, name: str) -> Column:
+        """A measure as a column if it has been taken, else as an expression that is evaluated where it stands."""
+        return F.col(self.columns[name]) if name in self.columns else _PLAIN[name](F.col(self.the_text)).cast("bigint")
+
+    def take(self, names: Iterable[str]) -> None:
+        t = F.col(self.the_text)
+        for name in names:
+            if name in self.columns:
+                continue
+            own, a, b = (free_name(self.df, x) for x in (name, "the_parts", "the_windows"))
+            if name == "n_repeat_words":
+                self.df = self.df.withColumn(a, F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+                hashes, repeats = repeated_words(a, b)
+                self.df = self.df.withColumn(b, hashes).withColumn(own, _once(repeats)).drop(a, b)
+            elif name == "n_dup_lines":
+                dups = F.size(a) - F.size(F.array_distinct(a))
+                self.df = self.df.withColumn(a, _lines(t)).withColumn(own, _once(dups.cast("bigint"))).drop(a)
+            else:
+                self.df = self.df.withColumn(own, _once(self.expression(name)))
+            self.columns[name] = own
+
+    def lacking(self, rule: Rule) -> Iterable[str]:
+        """What can't stand inside an expression."""
+        return [m for m in rule.weights if m not in _PLAIN]
+
+    def fails(self, rule: Rule) -> Column:
+        terms = [F.lit(w) * self.expression(m) for m, w in rule.weights.items()]
+        return sum(terms[1:], terms[0]) > rule.bound
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per cost, highest first, estimated on the first sample_rows rows.
 
-    The cost of a rule is the time of a job that computes its measures alone (column pruning leaves the others out); take()
-    reads no more partitions than it needs, and only verdicts come to the driver.
+    The cost of a rule is the time of a job that takes its measures alone; take() reads no more partitions than it needs, and
+    only verdicts come to the driver.
     """
-    measured, own = measures(docs.select(docs[text].alias("text")))
     timed = []
     for k, rule in enumerate(rules):
+        m = Measures(docs.select(docs[text].alias("text")))
+        m.take(m.lacking(rule))
         began = time.perf_counter()
-        verdicts = measured.select(_failing(rule, own).alias("f")).take(sample_rows)
+        verdicts = m.df.select(m.fails(rule).alias("f")).take(sample_rows)
         rejected = sum(bool(v["f"]) for v in verdicts)
         timed.append((-(rejected + 1) / (len(verdicts) + 1) / (time.perf_counter() - began), k, rule))
     return [rule for _, _, rule in sorted(timed, key=lambda x: x[:2])]
 
 
-def cascade(rules: list[Rule], own: dict[str, str]) -> Column:
-    """The name of the first rule that rejects a document, else null; later rules aren't evaluated then."""
-    name = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        name = F.when(_failing(rule, own), F.lit(rule.name)).otherwise(name)
-    return name
-
-
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """docs with the measures, base_failed and kept."""
+    """docs with the reported measures, base_failed and kept. The measures of other rules are taken where they are needed."""
     ordered = order_rules(docs, rules, text)
-    df, own = measures(docs, text)
-    base_failed, kept = free_name(df, "base_failed"), free_name(df, "kept")
+    m = Measures(docs, text)
+    m.take(REPORTED)
     rejects = F.lit(False)
     for rule in rules:
         if rule.base:
-            rejects = rejects | _failing(rule, own)
-    df = df.withColumn(base_failed, rejects)
-    rest = [r for r in ordered if not r.base]
-    return df.withColumn(kept, F.when(F.col(base_failed), F.lit(False)).otherwise(cascade(rest, own).isNull()))
+            rejects = rejects | m.fails(rule)
+    base_failed, kept = free_name(m.df, "base_failed"), free_name(m.df, "kept")
+    verdict = F.when(F.col(base_failed), F.lit(False))
+    for rule in ordered:
+        if not rule.base:
+            m.take(m.lacking(rule))
+            verdict = verdict.when(m.fails(rule), F.lit(False))
+    return m.df.withColumn(base_failed, rejects).withColumn(kept, verdict.otherwise(F.lit(True))).drop(m.the_text)
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs that no rule rejects, with the columns of docs."""
-    ordered = order_rules(docs, rules, text)
-    df, own = measures(docs, text)
-    return df.filter(cascade(ordered, own).isNull()).select(*(F.col(f"`{c}`") for c in docs.columns))
+    m = Measures(docs, text)
+    for rule in order_rules(docs, rules, text):
+        m.take(rule.weights)
+        m.df = m.df.filter(~m.fails(rule))
+    return m.df.select(*(F.col(f"`{c}`") for c in docs.columns))
