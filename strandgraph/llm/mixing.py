@@ -70,19 +70,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs repeated to the target weights, in random order, with the columns of docs and copy (1, 2, ...)."""
     by_source = rates(docs, weights, source).withColumn("mix_cdf", poisson_cdf(F.col("mix_rate")))
-    copy, place = free_name(docs, "copy"), free_name(docs, "mix_place")
-    names = [F.col(f"`{c}`") for c in docs.columns]
+    copy = free_name(docs, "copy")
     at = F.coalesce(docs[key].cast("string"), F.lit(""))
-    left = docs.withColumn("mix_u", uniform(seed, at))
+    # a document's own columns stay together in one, so that none clashes with those of the join
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), docs[source].cast("string").alias("mix_own"), at.alias("mix_at"), uniform(seed, at).alias("mix_u"))
     if by_source.count() <= BROADCAST_SOURCES:
-        joined = left.join(F.broadcast(by_source), left[source].cast("string").eqNullSafe(by_source["mix_source"]))
+        joined = left.join(F.broadcast(by_source), F.col("mix_own").eqNullSafe(F.col("mix_source")))
     else:
         salted = by_source.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = left.withColumn("mix_dealt", F.pmod(F.xxhash64(at), F.lit(SALTS)).cast("int"))
-        same = left[source].cast("string").eqNullSafe(salted["mix_source"]) & (left["mix_dealt"] == salted["mix_salt"])
-        joined = left.join(salted, same)
+        left = left.withColumn("mix_dealt", F.pmod(F.xxhash64("mix_at"), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, F.col("mix_own").eqNullSafe(F.col("mix_source")) & (F.col("mix_dealt") == F.col("mix_salt")))
     count = poisson_quantile(F.col("mix_u"), F.col("mix_cdf"))
-    counted = joined.select(*names, count.alias("mix_count")).filter("mix_count > 0")
-    copies = counted.select(*names, F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias(copy))
-    placed = copies.withColumn(place, F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.col(copy).cast("string"), F.lit("place"))))
-    return placed.repartition(F.col(place)).sortWithinPartitions(place).drop(place)
+    counted = joined.select("mix_row", "mix_at", count.alias("mix_count")).filter("mix_count > 0")
+    copies = counted.select("mix_row", "mix_at", F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("mix_copy"))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_at"), F.col("mix_copy").cast("string"), F.lit("place")))
+    shuffled = copies.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place")
+    return shuffled.select("mix_row.*", F.col("mix_copy").alias(copy))

@@ -72,6 +72,7 @@ def _gram(window: int) -> int:
 
 def _sketch(texts: DataFrame, window: int, width: int) -> DataFrame:
     """(segment, once, more): the cells of each partition's sketch, deflated differences of sorted places in the segment."""
+    size_of = min(SEGMENT, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -83,11 +84,11 @@ def _sketch(texts: DataFrame, window: int, width: int) -> DataFrame:
             out: dict[str, list] = {"segment": [], "once": [], "more": []}
             for row in range(ROWS):
                 cells, counts = np.unique(_cells(g, row, width), return_counts=True)
-                segments = (cells // np.uint64(SEGMENT)).astype(np.int64)
+                segments = (cells // np.uint64(size_of)).astype(np.int64)
                 edges = np.flatnonzero(np.diff(segments, prepend=-1, append=-2))
                 for a, b in zip(edges, edges[1:]):
-                    places = (cells[a:b] % np.uint64(SEGMENT)).astype(np.int32)
-                    out["segment"].append(row * (width // SEGMENT) + int(segments[a]))
+                    places = (cells[a:b] % np.uint64(size_of)).astype(np.int32)
+                    out["segment"].append(row * (width // size_of) + int(segments[a]))
                     for name, chosen in (("once", counts[a:b] == 1), ("more", counts[a:b] > 1)):
                         out[name].append(zlib.compress(np.diff(places[chosen], prepend=np.int32(0)).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([pa.array(out["segment"], pa.int32()), pa.array(out["once"], pa.binary()), pa.array(out["more"], pa.binary())], ["segment", "once", "more"])
@@ -109,28 +110,33 @@ def _sketch(texts: DataFrame, window: int, width: int) -> DataFrame:
     return texts.mapInArrow(run, "segment int, once binary, more binary")
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters of the segments that come to this task, added up with saturation; a bit for each cell that has two or more."""
-    counts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            c = counts.setdefault(row["segment"], np.zeros(SEGMENT, np.uint8))
-            for blob, n in ((row["once"], 1), (row["more"], 2)):
-                places = np.cumsum(np.frombuffer(zlib.decompress(blob), np.int32))
-                c[places] = np.minimum(c[places], 255 - n) + np.uint8(n)
-    for segment, c in counts.items():
-        bits = zlib.compress(np.packbits(c >= 2).tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits], pa.binary())], ["segment", "bits"])
+def _merge(size_of: int):
+    """Counters of the segments that come to a task, added up with saturation; a bit for each cell that has two or more."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = counts.setdefault(row["segment"], np.zeros(size_of, np.uint8))
+                for blob, n in ((row["once"], 1), (row["more"], 2)):
+                    places = np.cumsum(np.frombuffer(zlib.decompress(blob), np.int32))
+                    c[places] = np.minimum(c[places], 255 - n) + np.uint8(n)
+        for segment, c in counts.items():
+            bits = zlib.compress(np.packbits(c >= 2).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([bits], pa.binary())], ["segment", "bits"])
+
+    return run
 
-def build_sketch(texts: DataFrame, window: int) -> Broadcast:
-    """The merged sketch's bits, (rows, width / 8) as bytes: its size is bounded by MAX_WIDTH whatever the input."""
+
+def build_sketch(texts: DataFrame, window: int, max_width: int) -> Broadcast:
+    """(width, the merged sketch's bits): ROWS * width / 8 bytes, so the size is bounded by max_width whatever the input."""
     spark = texts.sparkSession
     characters = texts.agg(F.sum(F.octet_length("the_text"))).first()[0] or 0
     expected = SPARE * characters // 6 * 2 // (window - _gram(window) + 2)  # six bytes a word, separator included
-    width = min(MAX_WIDTH, max(SEGMENT, 1 << max(1, int(expected)).bit_length()))
-    merged = _sketch(texts, window, width).repartition("segment").mapInArrow(_merge, "segment int, bits binary")
-    bits = np.zeros((ROWS * (width // SEGMENT), SEGMENT // 8), np.uint8)
+    width = min(max_width, max(SEGMENT, 1 << max(1, int(expected)).bit_length()))
+    size_of = min(SEGMENT, width)
+    merged = _sketch(texts, window, width).repartition("segment").mapInArrow(_merge(size_of), "segment int, bits binary")
+    bits = np.zeros((ROWS * (width // size_of), size_of // 8), np.uint8)
     for row in merged.toLocalIterator():
         bits[row["segment"]] = np.frombuffer(zlib.decompress(bytes(row["bits"])), np.uint8)
     return spark.sparkContext.broadcast((width, bits.tobytes()))
@@ -169,22 +175,23 @@ def first_windows(keyed: DataFrame, sketch: Broadcast, window: int) -> DataFrame
     return first.groupBy("first_key").agg(F.collect_list("h1").alias("h1s"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, max_width: int = MAX_WIDTH) -> DataFrame:
     """docs with n_words, n_removed, kept_sha256 (of the kept words joined by one space) and kept_text.
 
     kept_text is the text itself where nothing was removed, else the kept words, each after the white space it had before it.
     """
-    if window < 2:
-        raise ValueError("window must be 2 or more")
+    if window < 2 or max_width < 8 or max_width & (max_width - 1):
+        raise ValueError("window must be 2 or more, max_width a power of two from 8 on")
     kind = dict(docs.dtypes)[key]
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{key} must be a whole number, not {kind}")
-    keyed = docs.withColumns({"the_key": F.coalesce(docs[key].cast("bigint"), F.lit(_LOWEST)), "the_text": text_or_empty(docs, text)})
-    sketch = build_sketch(keyed.select("the_text"), window)
-    firsts = first_windows(keyed, sketch, window)
     names = [c for c in docs.columns if c != text]
-    left = keyed.select("the_key", "the_text", F.struct(*(F.col(f"`{c}`") for c in names)).alias("the_rest"))
-    joined = left.join(firsts, F.col("the_key") == F.col("first_key"), "left").select("the_text", "h1s", "the_rest")
+    keyed = docs.select(
+        F.coalesce(docs[key].cast("bigint"), F.lit(_LOWEST)).alias("the_key"), text_or_empty(docs, text).alias("the_text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("the_rest")
+    )
+    sketch = build_sketch(keyed.select("the_text"), window, max_width)
+    firsts = first_windows(keyed, sketch, window)
+    joined = keyed.join(firsts, F.col("the_key") == F.col("first_key"), "left").select("the_text", "h1s", "the_rest")
     rest = joined.schema["the_rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
