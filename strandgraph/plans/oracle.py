@@ -134,7 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "pagerank_compat": _pagerank("order_cust", True) + ranks,
         "pagerank_sinks": _pagerank("part_supp", False) + ranks,
         "pagerank_sum": _pagerank("user_seq", False) + f" select round(sum(p),9) total from pr where it={ITERATIONS}",
-        "pagerank_topk": _pagerank("user_seq", False) + ranks + " order by p desc, v limit 10",
+        "pagerank_topk": _pagerank("user_seq", False) + ranks + " order by round(p,12) desc, v limit 10",
         "pagerank_requested_nodes": _pagerank("user_seq", False) + ranks + " and v in (0,1,5,14)",
     }
     for name, start in (("renumber_edges", 0), ("renumber_from_one", 1)):
