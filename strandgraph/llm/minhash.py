@@ -35,6 +35,8 @@ from .word_hashes import Chunk, chunks, grams, mix
 BINS, BANDS, BAND_ROWS = 256, 42, 6
 #: Members of a star in a block; a task holds two blocks at most.
 BLOCK = 256
+#: Shingles of one side that are compared at once, so that a task's tables stay small if texts are long.
+STRETCH = 250_000
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (80, 100)
 
@@ -105,19 +107,34 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["key", "blob"])
 
 
+def _pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of one of left and one of right (row numbers) that reach the similarity."""
+    part, whole = SIMILARITY
+    both = [sets[k] for k in left] + [sets[k] for k in right]
+    sizes = np.array([len(s) for s in both])
+    kinds, column, counts = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    common = counts > 1
+    number = np.cumsum(common) - 1  # shingles that are there once can't be common to a pair
+    chosen = common[column]
+    table = np.zeros((len(both), int(common.sum())), np.float32)
+    table[np.repeat(np.arange(len(both)), sizes)[chosen], number[column[chosen]]] = 1
+    n = len(left)
+    shared = np.rint(table[:n] @ table[n:].T).astype(np.int64)
+    i, j = np.nonzero(whole * shared >= part * (sizes[:n, None] + sizes[None, n:] - shared))
+    return left[i], right[j]
+
+
+def _stretches(rows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """rows in stretches of STRETCH shingles at most, or of one row."""
+    total = np.cumsum(sizes[rows]) // STRETCH
+    return np.split(rows, np.flatnonzero(np.diff(total)) + 1)
+
+
 def _joined(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A label for each set, equal for those that links join, among pairs of one of left and one of right (row numbers)."""
-    part, whole = SIMILARITY
     sizes = np.array([len(s) for s in sets])
-    kinds, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    common = counts > 1
-    number = np.cumsum(common) - 1  # shingles of one set only can't be common to a pair
-    row, chosen = np.repeat(np.arange(len(sets)), sizes), common[column]
-    table = np.zeros((len(sets), int(common.sum())), np.float32)
-    table[row[chosen], number[column[chosen]]] = 1
-    both = np.rint(table[left] @ table[right].T).astype(np.int64)
-    i, j = np.nonzero(whole * both >= part * (sizes[left][:, None] + sizes[right][None, :] - both))
-    i, j = left[i], right[j]
+    found = [_pairs(sets, a, b) for a in _stretches(left, sizes) for b in _stretches(right, sizes)]
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
     label = np.arange(len(sets))
     while True:
         lower = label.copy()

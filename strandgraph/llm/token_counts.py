@@ -13,7 +13,6 @@ need no rule of their own.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -80,22 +79,12 @@ class Counter:
         return sum(chunk(c) if len(c) <= MEMO_LENGTH else self.count_chunk(c) for c in self.pieces.chunks(self.pieces.normalised(text or "")))
 
 
-_counters: dict[str, Counter] = {}
-
-
-def counter(model: bytes) -> Counter:
-    key = hashlib.sha256(model).hexdigest()
-    if key not in _counters:
-        _counters[key] = Counter(model)
-    return _counters[key]
-
-
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
     """(key, n_tokens bigint), a row for each of docs."""
     model = read_model(model_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(model)
+        c = Counter(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

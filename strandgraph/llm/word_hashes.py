@@ -22,7 +22,7 @@ _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are taken together up to so many bytes, so temporary arrays stay small whatever a batch holds.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _MASK = (1 << 64) - 1
 
 
