@@ -83,44 +83,48 @@ def code(d: int, directions: int) -> Code:
     return Code(d, directions)
 
 
-def _listed(directions: int):
+def _normalised(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _listed(directions: int, kind: str):
+    """kind: the type in which vectors go on, the one that they had."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = [np.array(v, float) for v in batch.column(2).to_pylist()]
             lists: list = [None] * len(vectors)
             for d in {len(v) for v in vectors}:
                 rows = [k for k, v in enumerate(vectors) if len(v) == d]
-                x = np.stack([vectors[k] for k in rows])
-                x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                for k, unit, ids in zip(rows, x, code(d, directions).lists(x)):
+                x = _normalised(np.stack([vectors[k] for k in rows]))
+                for k, ids in zip(rows, code(d, directions).lists(x)):
                     lists[k] = ids * 4096 + d % 4096  # lengths have filters of their own
-                    vectors[k] = unit
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["node", "weight", "unit", "filters"],
+                [batch.column(0), batch.column(1), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                ["node", "weight", "vector", "filters"],
             )
 
     return run
 
 
-def _verify(cosine: float):
+def _verify(cosine: float, kind: str):
     def group(f: int, low: int, high: int, rows: dict[str, list]) -> pa.RecordBatch | None:
         order = np.argsort(rows["node"])
         node, mine = np.array(rows["node"])[order], np.array(rows["mine"])[order]
-        units = [rows["unit"][k] for k in order]
-        if len({len(u) for u in units}) > 1:
+        vectors = [np.frombuffer(rows["vector"][k], kind) for k in order]
+        if len({len(v) for v in vectors}) > 1:
             raise ValueError("vectors of different lengths share a filter")
-        x = np.stack([np.frombuffer(u) for u in units])
+        x = _normalised(np.stack(vectors).astype(float))
         near = np.triu(x @ x.T >= cosine, 1)
         if low != high:
             near &= mine[:, None] != mine[None, :]
         i, j = np.nonzero(near)
         if not len(i):
             return None
-        lists = [rows["filters"][k] for k in order]
-        sizes = [int(np.searchsorted(v, f)) for v in lists]  # the filters before this one
-        before = np.concatenate([v[:s] for v, s in zip(lists, sizes)])
+        lists = [rows["before"][k] for k in order]
+        sizes = [len(v) for v in lists]
+        before = np.concatenate(lists)
         kinds, column = np.unique(before, return_inverse=True)
         bits = np.zeros((len(node), max(1, (len(kinds) + 63) // 64)), np.uint64)
         np.bitwise_or.at(bits, (np.repeat(np.arange(len(node)), sizes), column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
@@ -145,17 +149,17 @@ def _verify(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("filter", "low", "high", "node", "weight", "unit", "mine")}
-            lists = batch.column("filters")
+            columns = {c: batch.column(c).to_pylist() for c in ("filter", "low", "high", "node", "weight", "vector", "mine")}
+            lists = batch.column("before")
             flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
             for k, own in enumerate(zip(columns["filter"], columns["low"], columns["high"])):
                 if own != key:
                     if key and len(rows["node"]) > 1 and (out := group(*key, rows)):
                         yield out
-                    key, rows = own, {c: [] for c in ("node", "weight", "unit", "mine", "filters")}
-                for c in ("node", "weight", "unit", "mine"):
+                    key, rows = own, {c: [] for c in ("node", "weight", "vector", "mine", "before")}
+                for c in ("node", "weight", "vector", "mine"):
                     rows[c].append(columns[c][k])
-                rows["filters"].append(flat[ends[k] : ends[k + 1]])
+                rows["before"].append(flat[ends[k] : ends[k + 1]])
         if key and len(rows["node"]) > 1 and (out := group(*key, rows)):
             yield out
 
@@ -173,16 +177,18 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = rows.filter("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     directions = max(4096, DIRECTIONS * classes.count())
-    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions), "node bigint, weight bigint, unit binary, filters array<bigint>"))
+    kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
+    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind), "node bigint, weight bigint, vector binary, filters array<bigint>"))
     entries = listed.select("node", F.explode("filters").alias("filter"))
     sizes = cut(entries.groupBy("filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = entries.join(sizes, "filter").select("filter", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("filter", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    full = dealt.join(listed, "node").repartition("filter", "low", "high").sortWithinPartitions("filter", "low", "high")
-    full = full.select("filter", "low", "high", "node", "weight", "unit", "mine", "filters")
-    found = cut(full.mapInArrow(_verify(cosine), "node bigint, links bigint, low bigint"))
+    before = F.filter("filters", lambda x: x < F.col("filter"))
+    full = dealt.join(listed, "node").select("filter", "low", "high", "node", "weight", "vector", "mine", before.alias("before"))
+    full = full.repartition("filter", "low", "high").sortWithinPartitions("filter", "low", "high")
+    found = cut(full.mapInArrow(_verify(cosine, kind), "node bigint, links bigint, low bigint"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
     of = classes.select("k1", "k2", "node", "first", "weight").join(linked, "node", "left")
