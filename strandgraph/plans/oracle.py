@@ -59,6 +59,13 @@ def _bfs(graph: str, starts: list[int], select: str) -> str:
     return _with(graph, walk, select, recursive=True)
 
 
+def _visits(graph: str, start: int) -> str:
+    """A first-in-first-out search visits a level in the order of the least shortest paths, compared node by node."""
+    walk = f"b(v,l,p) as (select {start}::bigint,0,[{start}::bigint] union all select e.t,l+1,min(list_append(p,e.t)) from b join e on e.s=b.v where l<12 group by e.t,l)"
+    own = f"{walk}, f as (select v,min(l) l from b group by v)"
+    return _with(graph, own, "select b.v node, b.l::int as level, row_number() over(order by b.l,b.p)-1 visit_pos from b join f on f.v=b.v and f.l=b.l", recursive=True)
+
+
 def _pagerank(graph: str, compat: bool) -> str:
     """Common tables up to pr; the ranks are those of the last round."""
     init, weight = ("0.0::double", "(1//deg.d)") if compat else ("1.0::double/n", "(1.0::double/deg.d)")
@@ -127,6 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "compressed_write_read": _edges("user_seq"),
         "text_edge_list_roundtrip": _edges("order_cust"),
         "bfs_levels": _bfs("part_supp", [START], "select v node, l::int as level from lv"),
+        "bfs_visit_order": _visits("user_seq", START),
         "bfs_count": _bfs("part_supp", [START], "select count(*) reached from lv"),
         "bfs_multi_start": _bfs("order_cust", [1, 7, 99], "select v node, l::int as level from lv"),
         "bfs_compressed": _bfs("user_seq", [START], "select v node, l::int as level from lv"),
