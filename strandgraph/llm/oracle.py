@@ -81,7 +81,7 @@ def _rules() -> str:
  rep as (select doc_id, count(distinct i+j) n from (select doc_id, i, count(*) over (partition by doc_id, k) c from win), range(8) z(j) where c > 1 group by doc_id),
  lines as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) l from w),
  m as (select w.doc_id, len(ws) n_words, length(array_to_string(ws, '')) word_chars, {_count('#*$%&|<>')} n_symbols, len(l) n_lines, len(l)-len(list_distinct(l)) n_dup_lines,
-  coalesce(rep.n, 0) n_repeat_words, {_count(chr(92) + 'p{Lu}')} n_upper, {_count(chr(92) + 'p{L}')} n_letters
+  coalesce(rep.n, 0) n_repeat_words, len(list_filter(range(1, greatest(len(ws), 1)), lambda i: ws[i] = ws[i+1])) n_echoes, {_count(chr(92) + 'p{Lu}')} n_upper, {_count(chr(92) + 'p{L}')} n_letters
   from w join lines on lines.doc_id=w.doc_id left join rep on rep.doc_id=w.doc_id)
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({base}) base_failed, not ({fails}) kept from m"""
 

@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and rejections are estimated; only the order of the rules follows from them.
 SAMPLE_ROWS = 2000
 WINDOW = 8
+#: A word before an equal one.
+ECHO = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++(?=\1(?:[\x20\x09-\x0D]|\z))"
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,7 @@ RULES = (
     Rule("symbols", {"n_symbols": 10, "n_words": -1}),
     Rule("short_words", {"n_words": 2, "word_chars": -1}),
     Rule("long_words", {"word_chars": 1, "n_words": -15}),
+    Rule("echoes", {"n_echoes": 10, "n_words": -3}),
     Rule("duplicate_lines", {"n_dup_lines": 2, "n_lines": -1}),
     Rule("shouting", {"n_upper": 2, "word_chars": -1}),
     Rule("letters", {"word_chars": 6, "n_letters": -10}),
@@ -83,6 +86,7 @@ _PLAIN = {
     "word_chars": lambda t: F.length(F.translate(t, SEPARATORS, "")),
     "n_symbols": lambda t: F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
     "n_lines": lambda t: F.size(_lines(t)),
+    "n_echoes": lambda t: F.regexp_count(t, F.lit(ECHO)),
     "n_upper": lambda t: F.length(F.regexp_replace(t, "[^\\p{Lu}]+", "")),
     "n_letters": lambda t: F.length(F.regexp_replace(t, "[^\\p{L}]+", "")),
 }

@@ -55,6 +55,15 @@ def test_order_follows_rejections(documents):
     assert order.index("symbols") < order.index("min_words")
 
 
+def test_echoes(spark):
+    texts = ["a a b", "a aa a", "x\n\tx x", "", " b", "b b", "ab b ab", "$ $ $", "é é", "a a\n"]
+    m = quality_rules.Measures(spark.createDataFrame([(t,) for t in texts], "text string"))
+    m.take(["n_echoes"])
+    for r in m.df.collect():
+        w = re.findall(r"[^ \t-\r]+", r.text)
+        assert r.n_echoes == sum(x == y for x, y in zip(w, w[1:])), r.text
+
+
 def test_no_python_in_the_plan(documents):
     for df in (quality_rules.judge(documents(RULED)), quality_rules.keep_good(documents(RULED)), licences.scan(documents(RULED)), mixing.mix(documents(RULED))):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
