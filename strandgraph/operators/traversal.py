@@ -67,15 +67,19 @@ def pagerank(edges: DataFrame, iterations: int = 5, alpha: float = 0.15, compat:
     """
     if not 0 <= alpha <= 1 or iterations < 0:
         raise ValueError("alpha is between 0 and 1, iterations 0 or more")
-    n = basics.stats(edges).first()["num_ids"]
-    if not n:
-        return edges.sparkSession.createDataFrame([], "node bigint, rank double")
-    degree = basics.out_degrees(edges).withColumnRenamed("src", "of")
-    weight: Column = F.when(F.col("degree") == 1, 1.0).otherwise(0.0) if compat else 1.0 / F.col("degree")
-    links = edges.join(degree, F.col("src") == F.col("of")).select("src", "dst", weight.alias("weight"))
-    links = links.filter("weight > 0").repartition("src").persist()
-    nodes = basics.has_successors(edges).persist()
+    own = edges.select("src", "dst").repartition("src").persist()  # statistics, degrees and links without another shuffle
+    nodes = links = None
     try:
+        n = basics.stats(own).first()["num_ids"]
+        if not n:
+            return edges.sparkSession.createDataFrame([], "node bigint, rank double")
+        degree = basics.out_degrees(own).withColumnRenamed("src", "of")
+        weight: Column = F.when(F.col("degree") == 1, 1.0).otherwise(0.0) if compat else 1.0 / F.col("degree")
+        links = own.join(degree, F.col("src") == F.col("of")).select("src", "dst", weight.alias("weight")).filter("weight > 0").persist()
+        nodes = edges.sparkSession.range(n).withColumnRenamed("id", "node")
+        if compat:
+            nodes = nodes.join(degree, F.col("node") == F.col("of"), "left").select("node", F.col("of").isNotNull().alias("has_succ"))
+        nodes = nodes.persist()
         ranks = nodes.select("node", F.lit(0.0 if compat else 1.0 / n).alias("rank"))
         share = 0.0
         for _ in range(iterations):
@@ -89,10 +93,13 @@ def pagerank(edges: DataFrame, iterations: int = 5, alpha: float = 0.15, compat:
                 rows = nodes.join(come, F.col("node") == F.col("dst"), "left").select("node", new.alias("rank"))
             ranks = cut(rows)
             share = (1.0 - ranks.agg(F.sum("rank")).first()[0]) / n
+        if not iterations:
+            ranks = cut(ranks)
         return ranks.withColumn("rank", F.col("rank") + F.lit(share))
     finally:
-        links.unpersist()
-        nodes.unpersist()
+        for df in (links, nodes, own):
+            if df is not None:
+                df.unpersist()
 
 
 def top_rank(ranks: DataFrame, k: int = 1) -> DataFrame:
