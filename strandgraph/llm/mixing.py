@@ -59,12 +59,10 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
         spark = docs.sparkSession
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "mix_given string, mix_weight double")
         weighed = counts.join(given, counts["mix_source"].eqNullSafe(given["mix_given"])).drop("mix_given")
-    totals = weighed.agg(F.sum("mix_n").alias("mix_total"), F.sum("mix_weight").alias("mix_weights"))
-    return cut(
-        weighed.join(F.broadcast(totals)).select(  # totals is one row
-            "mix_source", (F.col("mix_weight") * F.col("mix_total") / F.col("mix_weights") / F.col("mix_n")).alias("mix_rate")
-        )
-    )
+    weighed = cut(weighed)
+    total = weighed.agg(F.sum("mix_n").alias("n"), F.sum("mix_weight").alias("weights")).first()  # two numbers
+    rate = F.col("mix_weight") * F.lit(total["n"] or 0) / F.lit(total["weights"] or 1.0) / F.col("mix_n")
+    return weighed.select("mix_source", rate.alias("mix_rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
