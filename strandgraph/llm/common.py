@@ -52,6 +52,22 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+_resident: dict[Hashable, Any] = {}
+
+
+def resident(name: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks: the tables of one operator at a time, made anew when another one's come."""
+    if name not in _resident:
+        _resident.clear()
+        _resident[name] = make()
+    return _resident[name]
+
+
+def release() -> None:
+    """For tasks that need memory and none of those tables."""
+    _resident.clear()
+
+
 class Memo:
     """A function's results by key, at most 2 * size of them: the older half goes when the younger half is full."""
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, text_or_empty
+from .common import cut, free_name, release, text_or_empty
 from .components import components
 from .word_hashes import Chunk, chunks, grams, mix
 
@@ -81,6 +81,7 @@ def signatures(keyed: DataFrame, n: int) -> DataFrame:
     """(key, n_shingles, d1, d2, bands): d1 and d2 are 128 bits that equal sets share; bands is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for at, chunk in chunks(batch.column(1), lower=True):
                 sizes, d1, d2, bands = [], [], [], []
@@ -101,6 +102,7 @@ def signatures(keyed: DataFrame, n: int) -> DataFrame:
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
+    release()
     for batch in batches:
         c = zstandard.ZstdCompressor(level=1)
         blobs = [c.compress(t.encode()) for t in batch.column(1).to_pylist()]
@@ -164,6 +166,7 @@ def _linked(n: int):
         return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(nodes[label[keep]], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         key, rows = None, []
         for batch in batches:
             for hub, task, node, side, blob in zip(*(batch.column(c).to_pylist() for c in range(5))):

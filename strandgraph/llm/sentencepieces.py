@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_or_empty
+from .common import Memo, resident, text_or_empty
 from .pieces import SPACE, Pieces, default_model
 
 MEMO_CHUNKS, MEMO_PAIRS = 350_000, 200_000
@@ -163,10 +163,11 @@ def read_model(path: str | None) -> bytes:
 def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) and, if asked for, ids (array<int>) and decoded (string), a row for each of docs."""
     model = read_model(model_path)
+    digest = hashlib.sha256(model).hexdigest()
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Codec(model)  # made anew for each task (0.2 s), so that a worker holds nothing between tasks
+        c = resident(("codec", digest), lambda: Codec(model))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # few texts and their ids at a time
                 part = batch.slice(at, 512)

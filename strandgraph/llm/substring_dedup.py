@@ -33,7 +33,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import release, text_or_empty
 from .word_hashes import Chunk, chunks, mix
 
 WINDOW = 20
@@ -75,6 +75,7 @@ def _sketch(texts: DataFrame, window: int, width: int) -> DataFrame:
     size_of = min(SEGMENT, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[np.ndarray] = []
         size = 0
 
@@ -160,6 +161,7 @@ def first_windows(keyed: DataFrame, sketch: Broadcast, window: int) -> DataFrame
     """(first_key, h1s): the windows, among those estimated repeated, that a document is the first to have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         width, raw = sketch.value
         bits = np.frombuffer(raw, np.uint8)
         for batch in batches:
@@ -195,6 +197,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     rest = joined.schema["the_rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         width, raw = sketch.value
         bits = np.frombuffer(raw, np.uint8)
         for batch in batches:

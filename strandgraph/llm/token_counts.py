@@ -13,13 +13,14 @@ need no rule of their own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, text_or_empty
+from .common import Memo, resident, text_or_empty
 from .pieces import Pieces
 from .sentencepieces import read_model
 
@@ -82,9 +83,10 @@ class Counter:
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
     """(key, n_tokens bigint), a row for each of docs."""
     model = read_model(model_path)
+    digest = hashlib.sha256(model).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Counter(model)
+        c = resident(("counter", digest), lambda: Counter(model))
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
