@@ -371,10 +371,17 @@ def bfs_multi_start(e):
     return traversal.bfs(e, [1, 7, 99])
 
 
-@on("user_seq")
-def bfs_compressed(e):
-    """The search over links decoded from the compressed lists."""
-    return traversal.bfs(compress.compress(e, variant="I", chunk=64).edges(), START)
+def _search_compressed(variant: str) -> None:
+    """The search over links decoded from the compressed lists of one format."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return traversal.bfs(compress.compress(graph(spark, sf_dir, "user_seq"), variant=variant, chunk=64).edges(), START)
+
+    _found[f"bfs_{variant}"] = run
+
+
+for _variant in compress.SECTIONS:
+    _search_compressed(_variant)
 
 
 def _rounded(ranks: DataFrame) -> DataFrame:
