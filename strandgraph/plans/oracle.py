@@ -151,6 +151,7 @@ def oracle_sql() -> dict[str, str]:
         out[f"len_{c}"] = f"select v, ({LENGTHS[c]})::bigint n from {_VALUES}"
         out[f"bits_{c}"] = f"select v, {BITS[c]} bits from {_VALUES}" + f" where v<{SMALL}" * (c == "unary")
     for variant in ("G", "CL", "CB", "I", "final"):
+        out[f"stream_{variant}"] = _edges("user_seq")
         out[f"bfs_{variant}"] = _bfs("user_seq", [START], "select v node, l::int as level from lv")
     for variant, graph in (("G", "supp_part"), ("CL", "part_supp"), ("CB", "user_seq"), ("I", "part_supp"), ("final", "part_supp")):
         out[f"roundtrip_{variant}"] = _edges(graph)

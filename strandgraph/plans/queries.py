@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import basics, compress, ordering, similarity, traversal
 from ..sources import edges as edge_source
+from ..sources import stream
 from .graphs import graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,6 +345,21 @@ def compressed_write_read(e):
     return compress.open_compressed(e.sparkSession, path).edges()
 
 
+def _stream(variant: str) -> None:
+    """Links that were written to one binary file of a format and read from it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _folder(spark)
+        stream.write_stream(compress.compress(graph(spark, sf_dir, "user_seq"), variant=variant), path)
+        return stream.stream_edges(spark, path, variant)
+
+    _found[f"stream_{variant}"] = run
+
+
+for _variant in compress.SECTIONS:
+    _stream(_variant)
+
+
 @on("order_cust")
 def text_edge_list_roundtrip(e):
     path = _folder(e.sparkSession)
