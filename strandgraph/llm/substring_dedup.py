@@ -44,21 +44,28 @@ MAX_WIDTH = 1 << 29
 #: Cells for each minimiser that is expected.
 SPARE = 4
 _POSITION = np.uint64((1 << 20) - 1)
+_STRETCH = 1 << 19
 _LOWEST = -(1 << 63)
 
 
 def _minimisers(chunk: Chunk, window: int, gram: int, starts: np.ndarray) -> np.ndarray:
-    """For each window start the minimiser: 44 bits of its hash, 20 of its place modulo 2**20."""
-    g = chunk.grams(gram)
-    keyed = (g & ~_POSITION) | (np.arange(len(g), dtype=np.uint64) & _POSITION)
-    span, size, least = window - gram + 1, 1, keyed
-    while size * 2 <= span:
-        least = np.minimum(least[: len(least) - size], least[size:])
-        size *= 2
-    rest = span - size
-    if rest:
-        least = np.minimum(least[: len(least) - rest], least[rest:])
-    return least[starts]
+    """For each window start the minimiser: 44 bits of its hash, 20 of its place in a stretch of half as many places.
+
+    Of equal grams in a window the first counts. So two equal windows that overlap never share the place of their minimiser:
+    the later one's would be in the earlier one too, and before its first.
+    """
+    g, span, least = chunk.grams(gram), window - gram + 1, []
+    for at in range(0, max(0, len(g) - span + 1), _STRETCH):
+        part = g[at : at + _STRETCH + span - 1]
+        part = (part & ~_POSITION) | np.arange(len(part), dtype=np.uint64)
+        size = 1
+        while size * 2 <= span:
+            part = np.minimum(part[: len(part) - size], part[size:])
+            size *= 2
+        if rest := span - size:
+            part = np.minimum(part[: len(part) - rest], part[rest:])
+        least.append(part)
+    return np.concatenate(least)[starts] if least else np.zeros(0, np.uint64)
 
 
 def _cells(gram_hash: np.ndarray, row: int, width: int) -> np.ndarray:

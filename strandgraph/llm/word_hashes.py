@@ -23,6 +23,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Texts are taken together up to so many bytes, so temporary arrays stay small whatever a batch holds.
 CHUNK_BYTES = 1 << 18
+WORDS_AT_ONCE = 1 << 16
 _MASK = (1 << 64) - 1
 
 
@@ -65,18 +66,21 @@ class Chunk:
         self.ends = np.flatnonzero(last) + 1
         self.starts = np.searchsorted(self.begins, offsets)
         self.data, self.offsets = data, offsets
-        self.hashes: list[np.ndarray] = []
-        if not len(self.begins):
-            self.hashes = [np.zeros(0, np.uint64) for _ in range(lanes)]
-            return
-        values = (_LOWER[data] if lower else data)[word]
-        lengths = self.ends - self.begins
-        heads = np.cumsum(lengths) - lengths
-        place = np.arange(len(values)) - np.repeat(heads, lengths)
-        with np.errstate(over="ignore"):
-            for k in range(lanes):
-                terms = _TABLES[k][values] * _powers(_BASES[k], int(lengths.max()))[place]
-                self.hashes.append(mix(np.add.reduceat(terms, heads) + lengths.astype(np.uint64)))
+        total = len(self.begins)
+        self.hashes = [np.empty(total, np.uint64) for _ in range(lanes)]
+        for at in range(0, total, WORDS_AT_ONCE):  # one text may be longer than all others together
+            own = slice(at, min(at + WORDS_AT_ONCE, total))
+            low, high = self.begins[own.start], self.ends[own.stop - 1]
+            values = data[low:high][word[low:high]]
+            values = _LOWER[values] if lower else values
+            lengths = self.ends[own] - self.begins[own]
+            heads = np.cumsum(lengths) - lengths
+            place = np.arange(len(values)) - np.repeat(heads, lengths)
+            powers = int(lengths.max())
+            with np.errstate(over="ignore"):
+                for k in range(lanes):
+                    terms = _TABLES[k][values] * _powers(_BASES[k], powers)[place]
+                    self.hashes[k][own] = mix(np.add.reduceat(terms, heads) + lengths.astype(np.uint64))
 
     def texts(self) -> np.ndarray:
         """For each word the number of its text in this chunk."""
