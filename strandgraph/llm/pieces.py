@@ -42,12 +42,16 @@ class Pieces:
         else:
             longer = {c for p in self.ids if len(p) > 1 for c in p}
             alone = "".join(c for c in "\n\t\r" if c not in longer)
-            self.chunks = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+            self.chunks = re.compile(f"[{alone}]| *[^ {alone}]+| +" if alone else " *[^ ]+| +").findall
 
     def normalised(self, text: str) -> str:
         """The text as the library sees it: a space before it, all spaces as U+2581."""
         return (SPACE + text).replace(" ", SPACE) if text else ""
 
+    def spaced(self, text: str) -> str:
+        """The same with spaces, which chunks() takes: most chunks are ASCII then, and take half the memory as keys."""
+        return (" " + text).replace(SPACE, " ") if text else ""
+
     def fallback(self, character: str) -> list[int]:
         """The ids of a character that has no piece of its own."""
         return [self.byte_ids[b] for b in character.encode()] if len(self.byte_ids) == 256 else [self.unknown]

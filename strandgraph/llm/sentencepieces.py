@@ -79,7 +79,8 @@ class Codec:
         a, b = self._string(key >> 21), self._string(key & (1 << 21) - 1)
         return self.merged(a + b) == [a, b]
 
-    def encode_chunk(self, text: str) -> list[int]:
+    def encode_chunk(self, text: str) -> tuple[int, ...]:
+        text = text.replace(" ", SPACE)
         n, size, length, shorter, pair = len(text), self.size, self.length, self.shorter, self.pair
         longest = [-1] * n
         for end, i in self.automaton.iter(text):  # by end, so the last one at a start is the longest
@@ -107,13 +108,13 @@ class Codec:
                     i = longest[at]
             else:
                 i = -2 if i >= size or shorter[i] < 0 else shorter[i]
-        return [j for i in out for j in ([i] if i < size else self.pieces.fallback(chr(i - size)))] if strange else out
+        return tuple(j for i in out for j in ([i] if i < size else self.pieces.fallback(chr(i - size)))) if strange else tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         memo = self.chunk
         young = memo.young
-        for chunk in self.pieces.chunks(self.pieces.normalised(text or "")):
+        for chunk in self.pieces.chunks(self.pieces.spaced(text or "")):
             ids = young.get(chunk)
             if ids is None:
                 ids = memo(chunk) if len(chunk) <= MEMO_LENGTH else self.encode_chunk(chunk)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, resident, text_or_empty
-from .pieces import Pieces
+from .pieces import SPACE, Pieces
 from .sentencepieces import read_model
 
 MEMO_CHUNKS = 300_000
@@ -46,6 +46,7 @@ class Counter:
         self.chunk = Memo(self.count_chunk, MEMO_CHUNKS)
 
     def count_chunk(self, text: str) -> int:
+        text = text.replace(" ", SPACE)
         n = len(text)
         best: list[float | None] = [0.0] + [None] * n
         count = [0] * (n + 1)
@@ -77,7 +78,7 @@ class Counter:
 
     def count(self, text: str | None) -> int:
         chunk = self.chunk
-        return sum(chunk(c) if len(c) <= MEMO_LENGTH else self.count_chunk(c) for c in self.pieces.chunks(self.pieces.normalised(text or "")))
+        return sum(chunk(c) if len(c) <= MEMO_LENGTH else self.count_chunk(c) for c in self.pieces.chunks(self.pieces.spaced(text or "")))
 
 
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model_path: str | None = None) -> DataFrame:
