@@ -1,10 +1,11 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
-A filter is a direction; a vector meets it if their cosine exceeds a bound. Directions are products: the space is rotated
-at random and parted into blocks, each block has a code of random unit vectors, and every way to take one code word of
-each block is a direction, so a few hundred words make millions. A vector's list is decoded block by block, cutting off
-what can't reach the bound any more. The bound follows from the number of directions (DIRECTIONS for each vector) so that
-a vector meets LISTED of them in the mean; two vectors of cosine 0.95 share about half of their lists.
+A filter is a direction; a vector meets the LISTED directions of greatest cosine, so no list is empty or long, whatever the
+code. Directions are products: the space is rotated at random and parted into blocks, each block has a code of random unit
+vectors, and every way to take one code word of each block is a direction, so a few thousand words make millions. A list
+is decoded block by block: of two ranked lists the k best sums are among the pairs of ranks (i, j), from 1, with i * j <= k.
+There are DIRECTIONS for each vector, but in few dimensions no more than leave half a list in a cap of the wanted cosine:
+with more of them, two vectors at that cosine would find other directions nearer and share none.
 
 1. Equal vectors are one node with a weight, counted before the shuffle.
 2. Nodes are joined on filters. A filter's nodes are cut into blocks by a hash, and each pair of blocks is one task, so none
@@ -34,8 +35,10 @@ from .common import cut
 from .components import components
 
 COSINE = 0.95
-#: Directions for each vector, and how many a vector meets in the mean.
+#: Directions for each vector, and how many a vector meets.
 DIRECTIONS, LISTED = 32, 96
+#: Scores of code words that are held at a time.
+SCORES = 1 << 21
 #: Nodes of a block; a task holds two at most.
 BLOCK = 512
 SEED = 11
@@ -46,7 +49,8 @@ class Code:
 
     def __init__(self, d: int, directions: int):
         rng = np.random.Generator(np.random.PCG64([SEED, d]))
-        self.blocks = min(d, 2 if directions <= 1 << 20 else 3 if directions <= 1 << 30 else 4)
+        # blocks of few dimensions and codes of few words spread the directions unevenly
+        self.blocks = min(max(1, d // 4), 2 if directions <= 1 << 30 or d < 24 else 3 if directions <= 1 << 40 else 4)
         self.words = max(2, math.ceil(directions ** (1 / self.blocks)))
         self.turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
         self.edges = [d * b // self.blocks for b in range(self.blocks + 1)]
@@ -57,6 +61,20 @@ class Code:
         share = min(0.5, LISTED / self.words**self.blocks)
         self.bound = NormalDist().inv_cdf(1 - share) / math.sqrt(d) * math.sqrt(self.blocks)
 
+    def best(self, unit: np.ndarray, listed: int = LISTED) -> np.ndarray:
+        """For each unit vector the sorted numbers of the directions that score highest, a row of listed (or all) numbers."""
+        step = max(1, SCORES // self.words)
+        return np.concatenate([self._best(unit[k : k + step] @ self.turn, listed) for k in range(0, len(unit), step)])
+
+    def _best(self, turned: np.ndarray, listed: int) -> np.ndarray:
+        sums, ids = np.zeros((len(turned), 1)), np.zeros((len(turned), 1), np.int64)
+        for a, b, c in zip(self.edges, self.edges[1:], self.code):
+            scores, words = _ranked(turned[:, a:b] @ c.T, listed)
+            i, j = np.array([(i, j) for i in range(sums.shape[1]) for j in range(min(scores.shape[1], listed // (i + 1)))]).T
+            sums, at = _ranked(sums[:, i] + scores[:, j], listed)
+            ids = np.take_along_axis(ids[:, i] * self.words + words[:, j], at, 1)
+        return np.sort(ids, axis=1)
+
     def lists(self, unit: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the sorted numbers of all directions that exceed the bound."""
         turned = unit @ self.turn
@@ -78,8 +96,30 @@ class Code:
         return out
 
 
+def _ranked(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest scores of each row in falling order, at most so many, and their places."""
+    if scores.shape[1] > most:
+        at = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+    else:
+        at = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    at = np.take_along_axis(at, np.argsort(-np.take_along_axis(scores, at, 1), axis=1), 1)
+    return np.take_along_axis(scores, at, 1), at
+
+
+def cap_share(d: int, cosine: float) -> float:
+    """The share of the sphere within a cosine of a point."""
+    if d == 1:
+        return 0.5
+    angles = np.linspace(0, math.pi, 20001)
+    density = np.sin((angles[1:] + angles[:-1]) / 2) ** (d - 2)
+    return float(density[angles[1:] <= math.acos(max(-1.0, min(1.0, cosine)))].sum() / density.sum())
+
+
 @lru_cache(4)
-def code(d: int, directions: int) -> Code:
+def code(d: int, directions: int, cosine: float = COSINE) -> Code:
+    most = LISTED / 2
+    if (share := cap_share(d, cosine)) * directions > most:
+        directions = max(LISTED, math.ceil(most / share))
     return Code(d, directions)
 
 
@@ -88,7 +128,7 @@ def _normalised(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listed(directions: int, kind: str):
+def _listed(directions: int, kind: str, cosine: float = COSINE):
     """kind: the type in which vectors go on, the one that they had."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +138,7 @@ def _listed(directions: int, kind: str):
             for d in {len(v) for v in vectors}:
                 rows = [k for k, v in enumerate(vectors) if len(v) == d]
                 x = _normalised(np.stack([vectors[k] for k in rows]))
-                for k, ids in zip(rows, code(d, directions).lists(x)):
+                for k, ids in zip(rows, code(d, directions, cosine).best(x)):
                     lists[k] = ids * 4096 + d % 4096  # lengths have filters of their own
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
@@ -178,7 +218,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     directions = max(4096, DIRECTIONS * classes.count())
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
-    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind), "node bigint, weight bigint, vector binary, filters array<bigint>"))
+    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind, cosine), "node bigint, weight bigint, vector binary, filters array<bigint>"))
     entries = listed.select("node", F.explode("filters").alias("filter"))
     sizes = cut(entries.groupBy("filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from strandgraph.llm import cap_filters
 
@@ -80,3 +81,35 @@ def test_lists_hold_all_directions_beyond_the_bound():
     for k, ids in enumerate(code.lists(x)):
         sums = a[k][:, None] + b[k][None, :]
         assert ids.tolist() == np.flatnonzero((sums >= code.bound).ravel()).tolist()
+
+
+def pairs(seed, d, n, cosine):
+    """n random unit vectors and a partner of each at the cosine, as isolated pairs are."""
+    r = np.random.default_rng(seed)
+    x, z = r.standard_normal((2, n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("d", [2, 3, 5, 8, 12, 16, 64, 384])
+@pytest.mark.parametrize("n", [51_282, 1_000_000, 3_000_000])
+def test_isolated_pairs_share_filters_however_many_vectors_there_are(d, n):
+    x, y = pairs(d, d, 200, 0.951)
+    code = cap_filters.code(d, cap_filters.DIRECTIONS * n)
+    assert np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(code.best(x), code.best(y))]) >= 0.9
+
+
+def test_best_are_the_best_directions(monkeypatch):
+    monkeypatch.setattr(cap_filters, "SCORES", 700)
+    for d, blocks in ((16, 2), (24, 3), (24, 4)):
+        x, _ = pairs(4, d, 20, 0.9)
+        code = cap_filters.Code(d, {2: 4096, 3: (1 << 30) + 1, 4: (1 << 40) + 1}[blocks])
+        assert code.blocks == blocks
+        code.words = 12
+        code.code = [c[:12] for c in code.code]
+        turned, sums = x @ code.turn, np.zeros((len(x), 1))
+        for lo, hi, c in zip(code.edges, code.edges[1:], code.code):
+            sums = (sums[:, :, None] + (turned[:, lo:hi] @ c.T)[:, None, :]).reshape(len(x), -1)
+        assert code.best(x, 40).tolist() == np.sort(np.argsort(-sums, axis=1)[:, :40], axis=1).tolist()
