@@ -2,7 +2,8 @@
 
 A source that has the share w of the target weights and n of the N documents repeats each document w * N / n times in the
 mean. Each document's count is the Poisson quantile of a uniform number that a hash of (seed, document) gives, so a
-re-run, a lost executor or another partitioning changes nothing. Documents are exploded by their counts and dealt out by
+re-run, a lost executor or another partitioning changes nothing. A rate beyond LARGEST, whose quantiles double precision
+doesn't reach, is parted: a sum of independent Poisson numbers is one, with a hash of (seed, document, part) for each. Documents are exploded by their counts and dealt out by
 a hash of (seed, document, copy), each partition sorted by it: a global shuffle in one exchange without a sampling pass.
 
 The hash is MD5 over the text of (seed, id, repeat number), of which 52 bits are used; rows that repeat an id and a text
@@ -21,6 +22,8 @@ SEED = 17
 #: Beyond so many sources the rates aren't broadcast but joined by a salted key.
 BROADCAST_SOURCES = 10_000
 SALTS = 32
+#: The largest rate of one draw; exp(-rate) is 0 beyond 745.
+LARGEST = 500
 _TWO52 = float(1 << 52)
 
 
@@ -50,6 +53,21 @@ def poisson_quantile(u: Column, cdf: Column) -> Column:
     return F.size(F.filter(cdf, lambda c: c <= u))
 
 
+def parts(rate: Column) -> Column:
+    """How many draws a rate takes."""
+    return F.greatest(F.lit(1), F.ceil(rate / LARGEST).cast("int"))
+
+
+def poisson_count(seed: int, at: Column, u: Column, parts: Column, cdf: Column) -> Column:
+    """The sum of as many draws as there are parts, cdf being that of one; u is the first one's number."""
+    more = F.aggregate(
+        F.sequence(F.lit(2), parts),
+        poisson_quantile(u, cdf),
+        lambda a, k: a + poisson_quantile(uniform(seed, at, k.cast("string"), F.lit("part")), cdf),
+    )
+    return F.when(parts == 1, poisson_quantile(u, cdf)).otherwise(more)
+
+
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source") -> DataFrame:
     """(source, rate): mean copies of each document of a source. Without weights all sources weigh the same."""
     counts = docs.groupBy(docs[source].cast("string").alias("mix_source")).agg(F.count(F.lit(1)).alias("mix_n"))
@@ -67,7 +85,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs repeated to the target weights, in random order, with the columns of docs and copy (1, 2, ...)."""
-    by_source = rates(docs, weights, source).withColumn("mix_cdf", poisson_cdf(F.col("mix_rate")))
+    by_source = rates(docs, weights, source).withColumn("mix_parts", parts(F.col("mix_rate")))
+    by_source = by_source.withColumn("mix_cdf", poisson_cdf(F.col("mix_rate") / F.col("mix_parts")))
     copy = free_name(docs, "copy")
     at = F.coalesce(docs[key].cast("string"), F.lit(""))
     # a document's own columns stay together in one, so that none clashes with those of the join
@@ -78,7 +97,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SE
         salted = by_source.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         left = left.withColumn("mix_dealt", F.pmod(F.xxhash64("mix_at"), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, F.col("mix_own").eqNullSafe(F.col("mix_source")) & (F.col("mix_dealt") == F.col("mix_salt")))
-    count = poisson_quantile(F.col("mix_u"), F.col("mix_cdf"))
+    count = poisson_count(seed, F.col("mix_at"), F.col("mix_u"), F.col("mix_parts"), F.col("mix_cdf"))
     counted = joined.select("mix_row", "mix_at", count.alias("mix_count")).filter("mix_count > 0")
     copies = counted.select("mix_row", "mix_at", F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("mix_copy"))
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_at"), F.col("mix_copy").cast("string"), F.lit("place")))

@@ -135,6 +135,29 @@ def test_mixing_without_broadcast(documents, monkeypatch):
     assert sorted(map(repr, mixing.mix(documents(rows)).collect())) == a
 
 
+def poisson_quantiles(rate, at):
+    """Least k with P(X <= k) > each of at, by logarithms from the mode."""
+    k = np.arange(int(rate - 15 * rate**0.5), int(rate + 15 * rate**0.5))
+    logs = k * math.log(rate) - rate - np.array([math.lgamma(i + 1) for i in k])
+    return k[np.searchsorted(np.cumsum(np.exp(logs)), at, "right")]
+
+
+def test_mixing_at_high_rates_is_poisson(spark):
+    """One small source in a large table: its documents are repeated 1000 and 10,000 times in the mean."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "CASE WHEN id < 200 THEN 'a' ELSE 'b' END AS source")
+    for rate in (746, 1000, 10_000):
+        by_source = spark.createDataFrame([("a", float(rate))], "mix_source string, mix_rate double")
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "rates", lambda *_: by_source)
+            rows = mixing.mix(docs).groupBy("doc_id").count().collect()
+        counts = np.array([r["count"] for r in rows])
+        assert len(counts) == 200 and max(r.doc_id for r in rows) == 199
+        assert abs(counts.mean() - rate) < 5 * (rate / 200) ** 0.5
+        assert 0.6 * rate < counts.var() < 1.5 * rate
+        for share, k in zip((0.1, 0.5, 0.9), poisson_quantiles(rate, (0.1, 0.5, 0.9))):
+            assert abs(np.mean(counts <= k) - share) < 0.12
+
+
 def test_mixing_hard_rows(documents):
     docs = documents(HARD, extra=True).unionByName(documents([(99, "t")], extra=True).drop("source").selectExpr("*", "CAST(NULL AS STRING) AS source"))
     out = mixing.mix(docs)
