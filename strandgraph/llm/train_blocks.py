@@ -21,10 +21,10 @@ MARK = "\ue000"  # after each text that belongs to the main part
 class Composer:
     def __init__(self, texts: list[str], seed: int):
         self.r = random.Random(seed)
-        self.texts = texts
+        self.texts = [t.split() for t in texts]
 
     def words(self, low: int, high: int) -> str:
-        words = self.r.choice(self.texts).split()
+        words = self.r.choice(self.texts)
         n = self.r.randint(low, high)
         a = self.r.randint(0, max(0, len(words) - n))
         return " ".join(words[a : a + n]).replace("&", "&amp;").replace("<", "&lt;") or "x"
@@ -78,18 +78,21 @@ class Composer:
             one = lambda: self.some(f"<div{self.attr('comment')}><p>{w(3, 60)}</p></div>", f"<li{self.attr('comment')}><b>{w(1, 2)}</b> {w(3, 60)}</li>", f"<article{self.attr('comment')}><p>{w(3, 60)}</p></article>", f"<p>{w(3, 60)}</p>")
             inner = self.some("", f"<h2>{self.some('Comments', 'Discussion', 'Responses', w(1, 3))}</h2>", f"<h3>{r.randint(1, 40)} comments</h3>") + "".join(one() for _ in range(r.randint(1, 6)))
             return f"<{(t := self.some('div', 'section', 'section', 'ul', 'aside'))}{self.attr('comments', 'comment-list', 'discussion', 'responses', 'reader-comments', 'disqus', 'replies')}>{inner}</{t}>"
+        if kind == "noscript":
+            inner = self.some("Please enable JavaScript to see this page. ", "This site needs JavaScript. ", "") + w(1, 20)
+            return f"<noscript>{self.some(inner, f'<p>{inner}</p>', f'<div>{inner}</div>')}</noscript>"
         inner = self.some(f"<a href='/s'>{w(1, 2)}</a> <a href='/t'>{w(1, 2)}</a>", w(1, 6), self.links(2, 5))
         return f"<div{self.attr('share', 'social', 'meta', 'tags', 'byline-links', 'pagination', 'pager', 'toolbar', 'author-box')}>{inner}</div>"
 
     def paragraph(self) -> str:
-        text = self.words(1, self.some(6, 30, 120, 300)) + MARK
+        text = self.words(1, self.some(1, 6, 30, 120, 300)) + self.some("", "", "", "", "!", "!!", "?") + MARK
         if self.r.random() < 0.25:
             text = self.some(f"<b>{text}</b>", f"<b>{text}<br>", f"<em>{self.words(1, 3)}</em> {text}", f'{self.words(1, 9)} <a href="/l">{self.words(1, 4)}</a> {text}', f"{self.words(1, 30)}<br>{text}", f"<span>{text}</span>")
         return text
 
     def main(self) -> list[str]:
         r, out = self.r, []
-        for _ in range(self.some(r.randint(1, 3), r.randint(2, 8), r.randint(4, 25))):
+        for _ in range(r.randint(60, 250) if r.random() < 0.001 else self.some(r.randint(1, 3), r.randint(2, 8), r.randint(4, 25))):
             x = r.random()
             if x < 0.78:
                 out.append(f"<p>{self.paragraph()}{self.some('</p>', '</p>', '</p>', '</p>', '')}")
@@ -107,10 +110,10 @@ class Composer:
 
     def page(self) -> str:
         r = self.r
-        kinds = ["nav", "header", "footer", "ad", "aside", "notice", "form", "comments", "other"]
+        kinds = ["nav", "header", "footer", "ad", "aside", "notice", "form", "comments", "other", "noscript"]
         body = self.main()
         heading = f"<h1>{self.words(1, 14)}{MARK}</h1>" if r.random() < 0.85 else ""
-        for kind in ("ad", "aside", "form", "other", "notice", "comments", "nav"):
+        for kind in ("ad", "aside", "form", "other", "notice", "comments", "nav", "noscript"):
             if r.random() < 0.1:
                 body.insert(len(body) if kind == "comments" else r.randint(0, len(body)), self.around(kind))
         inner = self.some("{}", "{}", "{}", "<div>{}</div>", "<section>{}</section>").replace("{}", "".join(body))
@@ -192,11 +195,16 @@ def step(batch, w) -> tuple[float, dict[str, np.ndarray]]:
     """Loss and gradients of a batch of examples."""
     steps, n = max(len(e[2]) for e in batch), len(batch)
     x, y, mask = np.zeros((steps, n, INPUT)), np.zeros((steps, n)), np.zeros((steps, n))
-    for c, (names, nums, label) in enumerate(batch):
-        k = len(label)
-        for t, (p, q) in enumerate(names):
-            x[t, c, :WIDTH], x[t, c, WIDTH : 2 * WIDTH] = w["path"][p].mean(axis=0), w["word"][q].mean(axis=0)
-        x[:k, c, 2 * WIDTH :], y[:k, c], mask[:k, c] = nums, label, 1
+    for c, (_, nums, label) in enumerate(batch):
+        x[: len(label), c, 2 * WIDTH :], y[: len(label), c], mask[: len(label), c] = nums, label, 1
+    places = np.array([(t, c) for c, e in enumerate(batch) for t in range(len(e[2]))]).T
+    listed = {}
+    for k, name in enumerate(("path", "word")):
+        lists = [own[k] for e in batch for own in e[0]]
+        sizes = np.array([len(own) for own in lists])
+        listed[name] = np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes), sizes
+        means = np.add.reduceat(w[name][listed[name][0]], np.cumsum(sizes) - sizes) / sizes[:, None]
+        x[places[0], places[1], k * WIDTH : (k + 1) * WIDTH] = means
     back = x[::-1]
     kf, kb = _forward(x, w["wf"], w["uf"], w["bf"], mask), _forward(back, w["wb"], w["ub"], w["bb"], mask[::-1])
     hidden = lambda kept: np.stack([k[7] * k[2] * k[4] for k in kept])
@@ -208,11 +216,9 @@ def step(batch, w) -> tuple[float, dict[str, np.ndarray]]:
     g["wf"], g["uf"], g["bf"], dxf = _backward(x, w["wf"], w["uf"], kf, d[:, :, None] * w["of"])
     g["wb"], g["ub"], g["bb"], dxb = _backward(back, w["wb"], w["ub"], kb, (d[:, :, None] * w["ob"])[::-1])
     dx = dxf + dxb[::-1] + d[:, :, None] * w["oi"]
-    g["path"], g["word"] = np.zeros_like(w["path"]), np.zeros_like(w["word"])
-    for c, (names, _, _) in enumerate(batch):
-        for t, (a, b) in enumerate(names):
-            np.add.at(g["path"], a, dx[t, c, :WIDTH] / len(a))
-            np.add.at(g["word"], b, dx[t, c, WIDTH : 2 * WIDTH] / len(b))
+    for k, (name, (at, of, sizes)) in enumerate(listed.items()):
+        own = (dx[places[0], places[1], k * WIDTH : (k + 1) * WIDTH] / sizes[:, None])[of]
+        g[name] = np.stack([np.bincount(at, own[:, c], len(w[name])) for c in range(WIDTH)], axis=1)
     return loss, g
 
 
