@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Poisson replication, in DataFrame expressions only.
 
 A source that has the share w of the target weights and n of the N documents repeats each document w * N / n times in the
-mean. Each document's count is the Poisson quantile of a uniform number that a hash of (seed, document) gives, so a
-re-run, a lost executor or another partitioning changes nothing. A rate beyond LARGEST, whose quantiles double precision
-doesn't reach, is parted: a sum of independent Poisson numbers is one, with a hash of (seed, document, part) for each. Documents are exploded by their counts and dealt out by
-a hash of (seed, document, copy), each partition sorted by it: a global shuffle in one exchange without a sampling pass.
-
-The hash is MD5 over the text of (seed, id, repeat number), of which 52 bits are used; rows that repeat an id and a text
-share one draw. Null ids take the text '' and a null source is a source of its own. Sources without a weight go if
-weights are given; weights need not add up to 1. An empty table gives an empty one.
+mean. Each document's count is the Poisson quantile of a uniform number that a hash of (seed, id, text, source) gives, so a
+re-run, a lost executor or another partitioning changes no count. A rate beyond LARGEST, whose quantiles double precision
+doesn't reach, is parted: a sum of independent Poisson numbers is one, with a hash for each part. Documents are exploded by
+their counts and dealt out by a hash of (what the draw had, copy, row number), each partition sorted by it: a global shuffle in
+one exchange without a sampling pass. Where a source's rate is beyond STAGED, a document is first exploded into blocks of
+STAGED copies and those are dealt out, so that no task makes all copies of one document.
+
+The hash is MD5, of which 52 bits are used. Rows that agree in id, text and source are one document and share a draw (each gets
+that many copies), but not a place. Null ids and texts count as '', and a null source is a source of its own. Sources
+without a weight go if weights are given; weights need not add up to 1. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,11 +21,13 @@ from pyspark.sql import functions as F
 from .common import cut, free_name
 
 SEED = 17
-#: Beyond so many sources the rates aren't broadcast but joined by a salted key.
-BROADCAST_SOURCES = 10_000
+#: The rates are broadcast while their names and quantiles have at most so many bytes, else joined by a salted key.
+BROADCAST_BYTES = 8 << 20
 SALTS = 32
 #: The largest rate of one draw; exp(-rate) is 0 beyond 745.
 LARGEST = 500
+#: Copies of a document that one task makes.
+STAGED = 1000
 _TWO52 = float(1 << 52)
 
 
@@ -83,23 +87,38 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
     return weighed.select("mix_source", rate.alias("mix_rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
+def _sized(by_source: DataFrame) -> tuple[int, float]:
+    """(bytes of the rates' table, greatest rate): two numbers."""
+    size = F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 8 * F.size("mix_cdf") + 64
+    row = by_source.agg(F.sum(size).alias("bytes"), F.max("mix_rate").alias("rate")).first()
+    return row["bytes"] or 0, row["rate"] or 0.0
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs repeated to the target weights, in random order, with the columns of docs and copy (1, 2, ...)."""
     by_source = rates(docs, weights, source).withColumn("mix_parts", parts(F.col("mix_rate")))
     by_source = by_source.withColumn("mix_cdf", poisson_cdf(F.col("mix_rate") / F.col("mix_parts")))
+    size, greatest = _sized(by_source)
     copy = free_name(docs, "copy")
-    at = F.coalesce(docs[key].cast("string"), F.lit(""))
+    of = lambda c: F.coalesce(docs[c].cast("string"), F.lit(""))
+    at = F.concat_ws(":", of(key), F.md5(of(text) if text in docs.columns else F.lit("")), of(source))
     # a document's own columns stay together in one, so that none clashes with those of the join
-    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), docs[source].cast("string").alias("mix_own"), at.alias("mix_at"), uniform(seed, at).alias("mix_u"))
-    if by_source.count() <= BROADCAST_SOURCES:
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("mix_row"), docs[source].cast("string").alias("mix_own"), at.alias("mix_at"), F.monotonically_increasing_id().alias("mix_number"))
+    left = left.withColumn("mix_u", uniform(seed, F.col("mix_at")))
+    if size <= BROADCAST_BYTES:
         joined = left.join(F.broadcast(by_source), F.col("mix_own").eqNullSafe(F.col("mix_source")))
     else:
         salted = by_source.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = left.withColumn("mix_dealt", F.pmod(F.xxhash64("mix_at"), F.lit(SALTS)).cast("int"))
+        left = left.withColumn("mix_dealt", F.pmod(F.col("mix_number"), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, F.col("mix_own").eqNullSafe(F.col("mix_source")) & (F.col("mix_dealt") == F.col("mix_salt")))
     count = poisson_count(seed, F.col("mix_at"), F.col("mix_u"), F.col("mix_parts"), F.col("mix_cdf"))
-    counted = joined.select("mix_row", "mix_at", count.alias("mix_count")).filter("mix_count > 0")
-    copies = counted.select("mix_row", "mix_at", F.explode(F.sequence(F.lit(1), F.col("mix_count"))).alias("mix_copy"))
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_at"), F.col("mix_copy").cast("string"), F.lit("place")))
-    shuffled = copies.withColumn("mix_place", place).repartition("mix_place").sortWithinPartitions("mix_place")
+    counted = joined.select("mix_row", "mix_at", "mix_number", count.alias("mix_count")).filter("mix_count > 0")
+    first, last = F.lit(1), F.col("mix_count")
+    if greatest > STAGED:
+        blocks = counted.withColumn("mix_block", F.explode(F.sequence(F.lit(0), F.floor((last - 1) / STAGED).cast("int"))))
+        counted = blocks.repartition("mix_number", "mix_block")
+        first, last = F.col("mix_block") * STAGED + 1, F.least(last, (F.col("mix_block") + 1) * STAGED)
+    copies = counted.select("mix_row", "mix_at", "mix_number", F.explode(F.sequence(first, last)).alias("mix_copy"))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("mix_at"), F.col("mix_copy").cast("string"), F.col("mix_number").cast("string"), F.lit("place")))
+    shuffled = copies.select("mix_row", "mix_copy", place.alias("mix_place")).repartition("mix_place").sortWithinPartitions("mix_place")
     return shuffled.select("mix_row.*", F.col("mix_copy").alias(copy))

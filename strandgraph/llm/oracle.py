@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licences import TEMPLATES, THRESHOLD
-from .mixing import SEED
+from .mixing import LARGEST, SEED
 from .quality_rules import RULES
 
 _WORDS = r"regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+')"
@@ -87,13 +87,17 @@ def _rules() -> str:
 
 
 def _mixing() -> str:
-    return f"""with recursive c as (select source, count(*) n from documents group by source),
- rates as (select source, 1.0::double*(select sum(n) from c)::double/(select count(*) from c)::double/n rate from c),
- cdf(source, rate, k, p, s) as (select source, rate, 0, exp(-rate), exp(-rate) from rates union all
-  select source, rate, k+1, p*rate/(k+1), s+p*rate/(k+1) from cdf where k < ceil(rate+12*sqrt(rate)+24)),
- u as (select *, ('0x'||substr(md5('{SEED}:'||doc_id::varchar),1,13))::bigint/4503599627370496.0::double u from documents),
- counts as (select u.*, (select count(*) from cdf where cdf.source is not distinct from u.source and cdf.s <= u.u) n from u)
- select doc_id, text, lang, source, n_chars, unnest(range(1, n+1))::int copy from counts"""
+    """Probabilities by the logarithm of the gamma function, so none is made from the one before it."""
+    u = f"('0x'||substr(md5('{SEED}:'||k{{}}),1,13))::bigint/4503599627370496.0::double"
+    return f"""with c as (select source, count(*) n from documents group by source),
+ rates as (select source, (select sum(n) from c)::double/(select count(*) from c)::double/n rate from c),
+ drawn as (select source, greatest(1, ceil(rate/{LARGEST}))::bigint parts, rate/greatest(1, ceil(rate/{LARGEST})) r from rates),
+ cdf as (select source, sum(exp(k*ln(r)-r-lgamma(k+1))) over (partition by source order by k) s from (select *, unnest(range(0, ceil(r+12*sqrt(r)+24)::bigint+1)) k from drawn)),
+ d as (select *, coalesce(doc_id::varchar,'')||':'||md5(coalesce(text,''))||':'||coalesce(source,'') k from documents),
+ ids as (select row_number() over () row_id, d.*, drawn.parts from d join drawn on drawn.source is not distinct from d.source),
+ draws as (select row_id, source, case when part=1 then {u.format('')} else {u.format("||':'||part||':part'")} end u from (select *, unnest(range(1, parts+1)) part from ids)),
+ counts as (select row_id, sum((select count(*) from cdf where cdf.source is not distinct from draws.source and cdf.s <= u))::bigint n from draws group by row_id)
+ select doc_id, text, lang, source, n_chars, unnest(range(1, n+1))::int copy from ids join counts using (row_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

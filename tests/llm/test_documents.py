@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 import zlib
@@ -131,7 +132,7 @@ def test_mixing_is_poisson_to_the_weights(spark):
 def test_mixing_without_broadcast(documents, monkeypatch):
     rows = [(k, str(k)) for k in range(300)]
     a = sorted(map(repr, mixing.mix(documents(rows)).collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     assert sorted(map(repr, mixing.mix(documents(rows)).collect())) == a
 
 
@@ -142,20 +143,56 @@ def poisson_quantiles(rate, at):
     return k[np.searchsorted(np.cumsum(np.exp(logs)), at, "right")]
 
 
-def test_mixing_at_high_rates_is_poisson(spark):
-    """One small source in a large table: its documents are repeated 1000 and 10,000 times in the mean."""
-    docs = spark.range(400).selectExpr("id AS doc_id", "CASE WHEN id < 200 THEN 'a' ELSE 'b' END AS source")
-    for rate in (746, 1000, 10_000):
-        by_source = spark.createDataFrame([("a", float(rate))], "mix_source string, mix_rate double")
-        with pytest.MonkeyPatch.context() as m:
-            m.setattr(mixing, "rates", lambda *_: by_source)
-            rows = mixing.mix(docs).groupBy("doc_id").count().collect()
-        counts = np.array([r["count"] for r in rows])
-        assert len(counts) == 200 and max(r.doc_id for r in rows) == 199
-        assert abs(counts.mean() - rate) < 5 * (rate / 200) ** 0.5
-        assert 0.6 * rate < counts.var() < 1.5 * rate
+@pytest.mark.parametrize(("rate", "n"), [(0.01, 20000), (5, 2000), (500, 200), (746, 200), (800, 200), (10_000, 200), (100_000, 30)])
+def test_mixing_at_any_rate_is_poisson(spark, rate, n):
+    """One small source in a large table: its documents are repeated up to 100,000 times in the mean."""
+    docs = spark.range(2 * n).selectExpr("id AS doc_id", f"CASE WHEN id < {n} THEN 'a' ELSE 'b' END AS source")
+    by_source = spark.createDataFrame([("a", float(rate))], "mix_source string, mix_rate double")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(mixing, "rates", lambda *_: by_source)
+        rows = mixing.mix(docs).groupBy("doc_id").agg({"*": "count", "copy": "max"}).collect()
+    counts = np.zeros(n)
+    for r in rows:
+        counts[r["doc_id"]] = r["count(1)"]
+        assert r["count(1)"] == r["max(copy)"]
+    assert abs(counts.mean() - rate) < 3 * (rate / n) ** 0.5
+    assert abs(counts.var() / rate - 1) < 5 * ((2 + 1 / rate) / n) ** 0.5
+    if rate >= 500:
         for share, k in zip((0.1, 0.5, 0.9), poisson_quantiles(rate, (0.1, 0.5, 0.9))):
-            assert abs(np.mean(counts <= k) - share) < 0.12
+            assert abs(np.mean(counts <= k) - share) < 3 * (share * (1 - share) / n) ** 0.5 + 0.05
+
+
+def brute_mix(rows, weights=None):
+    """(id, text, copy) of rows (id, text, source), one by one: numbers by hashlib, quantiles by logarithms."""
+    sources = {r[2] for r in rows} if weights is None else set(weights) & {r[2] for r in rows}
+    total = sum(1 if weights is None else weights[x] for x in sources)
+    kept, out = [r for r in rows if r[2] in sources], []
+    for i, text, source in kept:
+        rate = (1 if weights is None else weights[source]) / total * len(kept) / sum(r[2] == source for r in kept)
+        at = f"{'' if i is None else i}:{hashlib.md5((text or '').encode()).hexdigest()}:{source or ''}"
+        u = int(hashlib.md5(f"{mixing.SEED}:{at}".encode()).hexdigest()[:13], 16) / 2**52
+        n, below = 0, 0.0
+        while (below := below + math.exp(n * math.log(rate) - rate - math.lgamma(n + 1))) <= u:
+            n += 1
+        out += [(i, text, c) for c in range(1, n + 1)]
+    return out
+
+
+def test_mixing_against_brute_force(documents):
+    rows = [(k if k % 3 else None, f"text {k}", "abc"[k % 7 % 3]) for k in range(400)] + [(9, None, "a"), (None, "", None), (7, "x", "b"), (7, "x", "b")]
+    docs = documents([(i, t) for i, t, _ in rows]).sparkSession.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for weights in (None, {"a": 3.0, "c": 0.5, "z": 1.0}):
+        got = sorted(repr(tuple(r)) for r in mixing.mix(docs, weights).select("doc_id", "text", "copy").collect())
+        assert got == sorted(map(repr, brute_mix(rows, weights)))
+
+
+def test_mixing_spreads_rows_without_ids(spark):
+    docs = spark.range(8000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CASE WHEN id < 4000 THEN 'same' ELSE CAST(id AS STRING) END AS text", "CAST(id % 2 AS STRING) AS source")
+    out = mixing.mix(docs)
+    kept = out.select("text").distinct().count()
+    assert 0.55 < kept / 4002 < 0.72  # a share of 1 / e goes: each text has its own draw
+    sizes = [r[0] for r in out.selectExpr("spark_partition_id() AS p").groupBy("p").count().select("count").collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
 def test_mixing_hard_rows(documents):
