@@ -1,7 +1,7 @@
 """Near-duplicate vectors by spherical-cap filters from structured random product codes.
 
-A filter is a direction; a vector meets the LISTED directions of greatest cosine, so no list is empty or long, whatever the
-code. Directions are products: the space is rotated at random and parted into blocks, each block has a code of random unit
+A filter is a direction; a vector meets all directions that exceed its bound, the score of its LISTED-th best one, so no list
+is empty or long, whatever the code. Directions are products: the space is rotated at random and parted into blocks, each block has a code of random unit
 vectors, and every way to take one code word of each block is a direction, so a few thousand words make millions. A list
 is decoded block by block: of two ranked lists the k best sums are among the pairs of ranks (i, j), from 1, with i * j <= k.
 There are DIRECTIONS for each vector, but in few dimensions no more than leave half a list in a cap of the wanted cosine:
@@ -15,8 +15,9 @@ with more of them, two vectors at that cosine would find other directions nearer
 4. Those make components.
 
 Defined results: vectors that are null, empty or zero or hold a null, a NaN or an infinity link with nothing; vectors of
-different lengths aren't linked with each other. Equal vectors link. Rows that share an id are vectors of their own; a row
-with a null id has no links and component null. Ids are whole numbers. An empty table gives an empty one.
+different lengths aren't linked with each other. Equal vectors link. Rows that share an id, or have none, are vectors of their
+own; the component is the least id there, null if no vector of it has one. Ids are whole numbers. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +58,6 @@ class Code:
         for a, b in zip(self.edges, self.edges[1:]):
             c = rng.standard_normal((self.words, b - a))
             self.code.append(c / np.linalg.norm(c, axis=1, keepdims=True))
-        share = min(0.5, LISTED / self.words**self.blocks)
-        self.bound = NormalDist().inv_cdf(1 - share) / math.sqrt(d) * math.sqrt(self.blocks)
 
     def best(self, unit: np.ndarray, listed: int = LISTED) -> np.ndarray:
         """For each unit vector the sorted numbers of the directions that score highest, a row of listed (or all) numbers."""
@@ -75,26 +73,6 @@ class Code:
             ids = np.take_along_axis(ids[:, i] * self.words + words[:, j], at, 1)
         return np.sort(ids, axis=1)
 
-    def lists(self, unit: np.ndarray) -> list[np.ndarray]:
-        """For each unit vector the sorted numbers of all directions that exceed the bound."""
-        turned = unit @ self.turn
-        scores = [turned[:, a:b] @ c.T for a, b, c in zip(self.edges, self.edges[1:], self.code)]
-        out = []
-        for row in range(len(unit)):
-            own = [s[row] for s in scores]
-            most = [float(s.max()) for s in own]
-            sums, ids = np.zeros(1), np.zeros(1, np.int64)
-            for b, s in enumerate(own):
-                rest = sum(most[b + 1 :])
-                can = np.flatnonzero(s >= self.bound - rest - sum(most[:b]))
-                can = can[np.argsort(-s[can])]
-                counts = np.searchsorted(-s[can], sums + (rest - self.bound), "right")
-                of = np.repeat(np.arange(len(sums)), counts)
-                at = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-                sums, ids = sums[of] + s[can][at], ids[of] * self.words + can[at]
-            out.append(np.sort(ids))
-        return out
-
 
 def _ranked(scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """The highest scores of each row in falling order, at most so many, and their places."""
@@ -139,22 +117,20 @@ def _listed(directions: int, kind: str, cosine: float = COSINE):
                 rows = [k for k, v in enumerate(vectors) if len(v) == d]
                 x = _normalised(np.stack([vectors[k] for k in rows]))
                 for k, ids in zip(rows, code(d, directions, cosine).best(x)):
-                    lists[k] = ids * 4096 + d % 4096  # lengths have filters of their own
+                    lists[k] = ids
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
-                ["node", "weight", "vector", "filters"],
+                [batch.column(0), batch.column(1), pa.array(list(map(len, vectors)), pa.int32()), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                ["node", "weight", "d", "vector", "filters"],
             )
 
     return run
 
 
 def _verify(cosine: float, kind: str):
-    def group(f: int, low: int, high: int, rows: dict[str, list]) -> pa.RecordBatch | None:
+    def group(d: int, f: int, low: int, high: int, rows: dict[str, list]) -> pa.RecordBatch | None:
         order = np.argsort(rows["node"])
         node, mine = np.array(rows["node"])[order], np.array(rows["mine"])[order]
         vectors = [np.frombuffer(rows["vector"][k], kind) for k in order]
-        if len({len(v) for v in vectors}) > 1:
-            raise ValueError("vectors of different lengths share a filter")
         x = _normalised(np.stack(vectors).astype(float))
         near = np.triu(x @ x.T >= cosine, 1)
         if low != high:
@@ -189,10 +165,10 @@ def _verify(cosine: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, {}
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("filter", "low", "high", "node", "weight", "vector", "mine")}
+            columns = {c: batch.column(c).to_pylist() for c in ("d", "filter", "low", "high", "node", "weight", "vector", "mine")}
             lists = batch.column("before")
             flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-            for k, own in enumerate(zip(columns["filter"], columns["low"], columns["high"])):
+            for k, own in enumerate(zip(columns["d"], columns["filter"], columns["low"], columns["high"])):
                 if own != key:
                     if key and len(rows["node"]) > 1 and (out := group(*key, rows)):
                         yield out
@@ -211,23 +187,23 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     values = F.transform(vectors[vector], lambda v: v.cast("double"))
     rows = vectors.select(vectors[key].cast("bigint").alias("key"), values.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = F.coalesce(F.col("v").isNotNull() & finite & F.col("key").isNotNull(), F.lit(False))
+    usable = F.coalesce(F.col("v").isNotNull() & finite, F.lit(False))
     rows = rows.select("key", F.when(usable, F.col("v")).alias("v"))
     rows = rows.select("key", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("second"), "v").alias("k2"))
     classes = rows.filter("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     directions = max(4096, DIRECTIONS * classes.count())
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
-    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind, cosine), "node bigint, weight bigint, vector binary, filters array<bigint>"))
-    entries = listed.select("node", F.explode("filters").alias("filter"))
-    sizes = cut(entries.groupBy("filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind, cosine), "node bigint, weight bigint, d int, vector binary, filters array<bigint>"))
+    entries = listed.select("node", "d", F.explode("filters").alias("filter"))  # each length has filters of its own
+    sizes = cut(entries.groupBy("d", "filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = entries.join(sizes, "filter").select("filter", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
+    dealt = entries.join(sizes, ["d", "filter"]).select("d", "filter", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("filter", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    dealt = dealt.select("d", "filter", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
     before = F.filter("filters", lambda x: x < F.col("filter"))
-    full = dealt.join(listed, "node").select("filter", "low", "high", "node", "weight", "vector", "mine", before.alias("before"))
-    full = full.repartition("filter", "low", "high").sortWithinPartitions("filter", "low", "high")
+    full = dealt.join(listed.drop("d"), "node").select("d", "filter", "low", "high", "node", "weight", "vector", "mine", before.alias("before"))
+    full = full.repartition("d", "filter", "low", "high").sortWithinPartitions("d", "filter", "low", "high")
     found = cut(full.mapInArrow(_verify(cosine, kind), "node bigint, links bigint, low bigint"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))

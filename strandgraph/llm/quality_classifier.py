@@ -124,6 +124,7 @@ class Discriminant:
         pooled = np.maximum(np.diag(n[0] * spreads[0] + n[1] * spreads[1]) / n.sum(), 1e-9)
         self.centre, self.scale = (n @ means) / n.sum(), np.sqrt(pooled + (n @ (means - (n @ means) / n.sum()) ** 2) / n.sum())
         self.means, self.factors = means, [np.linalg.cholesky((1 - shrinkage) * s + shrinkage * np.diag(pooled)) for s in spreads]
+        self.inverses = [np.linalg.inv(f) for f in self.factors]  # of the factors, so that a batch takes products alone
         self.log_determinants = [2 * np.log(np.diag(f)).sum() for f in self.factors]
         self.log_odds = float(np.log(n[1] / n[0]))
 
@@ -131,7 +132,7 @@ class Discriminant:
         if not self.ready:
             return np.full(len(x), 0.5)
         x = self.centre + np.clip((x - self.centre) / self.scale, -LIMIT, LIMIT) * self.scale
-        density = [-(np.linalg.solve(f, (x - m).T) ** 2).sum(axis=0) - ld for m, f, ld in zip(self.means, self.factors, self.log_determinants)]
+        density = [-(((x - m) @ f.T) ** 2).sum(axis=1) - ld for m, f, ld in zip(self.means, self.inverses, self.log_determinants)]
         return 1 / (1 + np.exp(-np.clip((density[1] - density[0]) / 2 + self.log_odds, -700, 700)))
 
 

@@ -227,6 +227,53 @@ def test_classifier_on_held_out_rows(spark, documents):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out.values())
 
 
+def plain_statistics(t):
+    """The classifier's statistics once more, from words and characters."""
+    t = t or ""
+    w = re.findall(r"[^ \t-\r]+", t)
+    n, count = max(len(w), 1), lambda chars: sum(c in chars for c in t)
+    lengths = [len(x.encode()) for x in w]
+    mean = sum(lengths) / n
+    upper, lower = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("abcdefghijklmnopqrstuvwxyz")
+    kinds = [count(" \t\v\f\r"), count("\n"), upper, lower, count("0123456789"), count("#*$%&|<>"), count("!?"), count("."), count(",;:")]
+    raw = t.encode()
+    wide = sum(b >= 128 for b in raw)
+    triples = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+    most = max(map(w.count, set(w)), default=0)
+    return [
+        math.log1p(len(w)), math.log1p(mean), math.log1p(max(sum(x * x for x in lengths) / n - mean**2, 0) ** 0.5), (upper / max(upper + lower, 1)) ** 0.5,
+        sum("A" <= x[0] <= "Z" for x in w) / n, math.log1p(kinds[5] / n), (kinds[6] / n) ** 0.5, (sum(x == 1 for x in lengths) / n) ** 0.5, (kinds[4] / n) ** 0.5,
+        (wide / max(len(raw), 1)) ** 0.5, (kinds[7] / n) ** 0.5, (kinds[8] / n) ** 0.5, (kinds[1] / n) ** 0.5, len(set(w)) / n,
+        (sum(a == b for a, b in zip(w, w[1:])) / n) ** 0.5, ((len(triples) - len(set(triples))) / max(len(triples), 1)) ** 0.5, (most / n) ** 0.5,
+        math.log1p((len(raw) - wide - sum(kinds)) / n),
+    ]
+
+
+def test_classifier_against_brute_force(spark, documents):
+    """Densities by inverse matrices and determinants, from statistics made one text at a time."""
+    rows, labels = labelled(spark, 300)
+    rows += [(10**6 + k, t) for k, t in enumerate(("", None, "Ünï ###", "a"))]
+    got = {r.doc_id: r for r in quality_classifier.classify(documents(rows), labels).collect()}
+    x = np.array([plain_statistics(t) for _, t in rows])
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    y = np.array([label.get(i, -1) if zlib.crc32(str(i).encode()) % 5 else -1 for i, _ in rows])
+    parts = [x[y == c] for c in (0, 1)]
+    n, means = [len(p) for p in parts], [p.mean(axis=0) for p in parts]
+    spreads = [np.cov(p.T, bias=True) for p in parts]
+    pooled = np.maximum((n[0] * np.diag(spreads[0]) + n[1] * np.diag(spreads[1])) / sum(n), 1e-9)
+    centre = np.concatenate(parts).mean(axis=0)
+    scale = np.sqrt(pooled + sum(k * (m - centre) ** 2 for k, m in zip(n, means)) / sum(n))
+    x = centre + np.clip((x - centre) / scale, -8, 8) * scale
+    log = []
+    for m, s in zip(means, spreads):
+        s = 0.8 * s + 0.2 * np.diag(pooled)
+        log.append([-((v - m) @ np.linalg.inv(s) @ (v - m) + np.linalg.slogdet(s)[1]) / 2 for v in x])
+    odds = np.array(log[1]) - np.array(log[0]) + math.log(n[1] / n[0])
+    for (i, _), z in zip(rows, odds):
+        want = 1 / (1 + math.exp(-min(max(z, -700), 700)))
+        assert got[i].score == pytest.approx(want, abs=1e-7) and got[i].predicted == (want >= 0.3)
+
+
 def test_held_out_labels_teach_nothing(spark, documents):
     rows, labels = labelled(spark, 400)
     flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0 THEN 1 - quality ELSE quality END AS quality", "toxic")

@@ -1,6 +1,8 @@
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from strandgraph.llm import cap_filters
@@ -64,23 +66,36 @@ def test_hard_rows(spark):
     ]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, key string")
     found = sorted(((r.key, r.n_links, r.component) for r in cap_filters.near_vectors(df).collect()), key=repr)
-    # 1, 2, 3, 13, 14 point the same way; one row of 2 and 4 are equal; 11 and 12 are longer
-    expected = [(1, 4, 1), (2, 4, 1), (3, 4, 1), (13, 4, 1), (14, 4, 1), (4, 1, 2), (2, 1, 2), (11, 1, 11), (12, 1, 11)]
-    expected += [(k, 0, k) for k in (5, 6, 7, 8, 9, 10)] + [(None, 0, None)]
+    # 1, 2, 3, 13, 14 and the one without an id point the same way; one row of 2 and 4 are equal; 11 and 12 are longer
+    expected = [(1, 5, 1), (2, 5, 1), (3, 5, 1), (13, 5, 1), (14, 5, 1), (None, 5, 1), (4, 1, 2), (2, 1, 2), (11, 1, 11), (12, 1, 11)]
+    expected += [(k, 0, k) for k in (5, 6, 7, 8, 9, 10)]
     assert found == sorted(expected, key=repr)
     assert cap_filters.near_vectors(df.limit(0)).collect() == []
 
 
-def test_lists_hold_all_directions_beyond_the_bound():
-    r = np.random.default_rng(4)
-    x = r.standard_normal((20, 16))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    code = cap_filters.Code(16, 4096)
-    turned = x @ code.turn
-    a, b = (turned[:, lo:hi] @ c.T for lo, hi, c in zip(code.edges, code.edges[1:], code.code))
-    for k, ids in enumerate(code.lists(x)):
-        sums = a[k][:, None] + b[k][None, :]
-        assert ids.tolist() == np.flatnonzero((sums >= code.bound).ravel()).tolist()
+def test_lengths_that_agree_modulo_a_power_of_two(spark):
+    rows = [(k, [1.0 + k % 2] * (8 if k < 2 else 4104)) for k in range(4)] + [(4, None), (None, [0.0] * 3), (None, [5.0] * 3)]
+    out = cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert sorted(((r.key, r.n_links, r.component) for r in out), key=repr) == sorted([(0, 1, 0), (1, 1, 0), (2, 1, 2), (3, 1, 2), (4, 0, 4), (None, 0, None), (None, 0, None)], key=repr)
+
+
+@pytest.mark.parametrize(("d", "filler"), [(8, 8_000), (64, 50_000), (256, 8_000)])
+def test_recall_of_planted_pairs_among_many_vectors(spark, tmp_path, d, filler):
+    """Isolated pairs among isotropic vectors, through Spark; 50,000 of 8 and 256 dimensions pass too, but take minutes."""
+    n = 400
+    pairs_of = [pairs(d + k, d, n, c) for k, c in enumerate((0.951, 0.96, 0.97))]
+    x = np.concatenate([np.stack(p, axis=1).reshape(-1, d) for p in pairs_of] + [np.random.default_rng(d).standard_normal((filler, d))]).astype(np.float32)
+    values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * d, pa.int32()), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": values}), tmp_path / "v.parquet", row_group_size=8192)
+    df = spark.read.parquet(str(tmp_path))
+    planted = 2 * n * len(pairs_of)
+    out = cap_filters.near_vectors(df).filter(f"key < {planted}").collect()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    by = {r.key: r for r in out}
+    links = (unit[:planted] @ unit.T >= 0.95).sum(axis=1) - 1  # brute force
+    assert all(by[k].n_links <= links[k] for k in by)  # none is false
+    assert sum(by[k].n_links for k in by) >= 0.95 * links.sum()
+    assert np.mean([by[k].component == by[k + 1].component for k in range(0, planted, 2)]) >= 0.95
 
 
 def pairs(seed, d, n, cosine):
