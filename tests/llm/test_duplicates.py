@@ -3,6 +3,8 @@ import random
 import re
 
 import numpy as np
+import pytest
+import xxhash
 
 from strandgraph.llm import minhash, substring_dedup
 
@@ -16,20 +18,25 @@ def words(t):
 # ---- passages
 
 
+def place(row):
+    """Rows without an id come first, by a hash of their text."""
+    return (0, xxhash.xxh64_intdigest(row[1] or "", 42) & (1 << 62) - 1) if row[0] is None else (1, row[0])
+
+
 def brute_substrings(rows, window):
     """(n_words, n_removed, digest) of each row; equal ids don't remove each other's words."""
     first = {}
-    for i, t in sorted(rows, key=lambda r: -(1 << 63) if r[0] is None else r[0]):
-        w = words(t)
+    for row in sorted(rows, key=place):
+        i, w = place(row), words(row[1])
         for s in range(len(w) - window + 1):
             first.setdefault(tuple(w[s : s + window]), i)
     out = []
     for i, t in rows:
-        w = words(t)
+        w, own = words(t), place((i, t))
         keep, seen = [True] * len(w), set()
         for s in range(len(w) - window + 1):
             key = tuple(w[s : s + window])
-            if first[key] != i or key in seen:
+            if first[key] != own or key in seen:
                 keep[s : s + window] = [False] * window
             seen.add(key)
         kept = [a for a, k in zip(w, keep) if k]
@@ -71,9 +78,29 @@ def test_repeats_inside_one_text(documents):
     assert found_substrings(documents(rows), 20) == brute_substrings(rows, 20)
 
 
-def test_a_full_sketch_loses_nothing(documents):
+@pytest.mark.parametrize("width", [(64, 16), (64, 64), (1 << 14, 64)])
+def test_a_full_sketch_and_many_segments_lose_nothing(documents, monkeypatch, width):
     rows = planted(3)
-    assert found_substrings(documents(rows), 20, max_width=64) == brute_substrings(rows, 20)
+    monkeypatch.setattr(substring_dedup, "sketch_width", lambda *_: width)
+    assert found_substrings(documents(rows), 20) == brute_substrings(rows, 20)
+
+
+def test_the_share_of_single_windows_that_pass_stays_small(documents, monkeypatch):
+    """With a sketch in proportion, of 1 and of 100 parts."""
+    monkeypatch.setattr(substring_dedup, "SEGMENT", 64)
+    monkeypatch.setattr(substring_dedup, "SEGMENTS", 16)
+    for n in (60, 6000):
+        r = random.Random(n)
+        docs = documents([(k, " ".join(f"{r.randrange(10**9):x}" for _ in range(120))) for k in range(n)])
+        keyed = docs.selectExpr("doc_id AS the_key", "text AS the_text")
+        passed = substring_dedup.repeated_minimisers(keyed, 20).selectExpr("sum(size(minimisers)) AS n").first()["n"] or 0
+        assert passed < 0.1 * n * 101 / 7, n
+
+
+def test_rows_without_an_id_have_keys_of_their_own(documents):
+    p = prose(4, 40)
+    rows = [(None, f"{prose(k, 5)} {p} {prose(k + 50, 30)}") for k in range(60)] + [(None, p)] * 3 + [(5, p), (-7, f"x {p}")]
+    assert found_substrings(documents(rows), 20) == brute_substrings(rows, 20)
 
 
 def test_cut_text_keeps_its_white_space(documents):
@@ -81,7 +108,7 @@ def test_cut_text_keeps_its_white_space(documents):
     docs = documents([(1, f"one\n{p}\ntwo"), (2, f"first  line\n\n{p}\nlast  line"), (3, "left\n\n alone "), (4, p)], extra=True)
     out = {r.doc_id: r for r in substring_dedup.cut_repeats(docs).collect()}
     assert out[1].text == f"one\n{p}\ntwo" and out[3].text == "left\n\n alone "
-    assert out[2].text == "first  line\nlast  line" and 4 not in out
+    assert out[2].text == "first  line\nlast  line" and out[4].text == ""
     assert out[1].the_text == "?" and list(out[1].asDict()) == docs.columns
 
 
