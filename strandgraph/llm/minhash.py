@@ -37,6 +37,8 @@ BINS, BANDS, BAND_ROWS = 256, 42, 6
 BLOCK = 256
 #: Shingles of one side that are compared at once, so that a task's tables stay small if texts are long.
 STRETCH = 250_000
+#: Shingles whose rows are a matrix at a time: 16 MB for two blocks.
+SLAB = 8192
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (80, 100)
 
@@ -118,10 +120,16 @@ def _pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple
     common = counts > 1
     number = np.cumsum(common) - 1  # shingles that are there once can't be common to a pair
     chosen = common[column]
-    table = np.zeros((len(both), int(common.sum())), np.float32)
-    table[np.repeat(np.arange(len(both)), sizes)[chosen], number[column[chosen]]] = 1
-    n = len(left)
-    shared = np.rint(table[:n] @ table[n:].T).astype(np.int64)
+    row, column = np.repeat(np.arange(len(both)), sizes)[chosen], number[column[chosen]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    n, shared = len(left), np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(common.sum()), SLAB):
+        lo, hi = np.searchsorted(column, (at, at + SLAB))
+        table = np.zeros((len(both), SLAB), np.float32)
+        table[row[lo:hi], column[lo:hi] - at] = 1
+        shared += table[:n] @ table[n:].T
+    shared = np.rint(shared).astype(np.int64)
     i, j = np.nonzero(whole * shared >= part * (sizes[:n, None] + sizes[None, n:] - shared))
     return left[i], right[j]
 
@@ -250,7 +258,19 @@ def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "t
 
 
 def keep_one(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component, with the columns of docs."""
-    kept = free_name(docs, "kept_key")
-    first = near_duplicates(docs, n, key, text).filter("component = key").select(F.col("key").alias(kept)).distinct()
-    return docs.join(first, docs[key].cast("bigint") == F.col(kept), "left_semi").union(docs.filter(docs[key].isNull()))
+    """One row of docs for each component, that of its smallest id, with the columns of docs.
+
+    Of rows that share an id one stays. Rows without an id are linked like others; they come after all ids, by a hash of their
+    text, which rows of equal text share.
+    """
+    own, kept, rows = (free_name(docs, x) for x in ("the_key", "kept_key", "kept_rows"))
+    unnamed = F.lit(1 << 62) + F.xxhash64(text_or_empty(docs, text)).bitwiseAND(F.lit((1 << 62) - 1))
+    named = docs.withColumn(own, F.coalesce(docs[key].cast("bigint"), unnamed))
+    found = near_duplicates(named, n, own, text).filter("component = key")
+    first = cut(found.groupBy(F.col("key").alias(kept)).agg(F.count(F.lit(1)).alias(rows)))
+    chosen = named.join(first, F.col(own) == F.col(kept))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if first.filter(F.col(rows) > 1).isEmpty():
+        return chosen.select(*columns)
+    one = chosen.filter(F.col(rows) > 1).groupBy(own).agg(F.first(F.struct(*columns)).alias("the_row"))
+    return chosen.filter(F.col(rows) == 1).select(*columns).union(one.select("the_row.*"))

@@ -193,6 +193,27 @@ def test_one_of_each_group_stays(documents):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in brute_near(rows, 5) if i == c)
 
 
+def test_one_row_stays_of_repeated_rows_and_rows_without_ids(documents):
+    a, b = prose(1, 80), prose(2, 80)
+    near = a.replace(a.split()[40], "changed")
+    docs = documents([(None, a), (None, a), (None, near), (None, b), (None, b), (7, a), (7, a), (9, near), (3, prose(3, 50)), (3, prose(3, 50)), (None, ""), (4, "")], extra=True)
+    kept = minhash.keep_one(docs, 5)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(7, a), (None, b), (3, prose(3, 50)), (None, ""), (4, "")], key=repr)
+
+
+def test_long_sets_are_compared_in_slabs(monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 62, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 3000 - 90 * k], r.integers(0, 1 << 62, 30 * k, dtype=np.uint64)])) for k in range(12)]
+    rows = np.arange(12)
+    whole = minhash._pairs(sets, rows, rows)
+    monkeypatch.setattr(minhash, "SLAB", 100)
+    assert [x.tolist() for x in minhash._pairs(sets, rows, rows)] == [x.tolist() for x in whole]
+    alike = {(i, j) for i in range(12) for j in range(12) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert set(zip(*(x.tolist() for x in whole))) == alike
+
+
 def test_densified_bins_agree_as_often_as_sets():
     r = np.random.default_rng(1)
     for size in (5, 60, 2000):
