@@ -54,6 +54,24 @@ def test_order_follows_rejections(documents):
     order = [r.name for r in quality_rules.order_rules(documents(rows))]
     assert set(order) == {r.name for r in quality_rules.RULES}
     assert order.index("symbols") < order.index("min_words")
+    assert all([r.name for r in quality_rules.order_rules(documents(rows))] == order for _ in range(2))
+
+
+def test_sample_is_spread_over_files(spark, tmp_path):
+    """The first files hold nothing that a rule rejects; the cheapest rule goes first there."""
+    clean, loud = [prose(k, 60) for k in range(40)], ["ALL UPPER CASE " * 20 + prose(k, 5) for k in range(40)]
+    for k in range(40):
+        spark.createDataFrame([(t,) for t in (clean if k < 20 else loud)], "text string").coalesce(1).write.parquet(f"{tmp_path}/t/p={k:02}")
+    docs = spark.read.parquet(f"{tmp_path}/t")
+    names = [r.name for r in quality_rules.order_rules(docs)]
+    assert names.index("shouting") < names.index("letters") and names[0] in ("shouting", "duplicate_lines")
+    assert quality_rules._spread(docs).select("p").distinct().count() == 16
+    assert quality_rules._spread(docs.groupBy("text").count()).count() > 0
+
+
+def test_costs_are_measured(spark):
+    found = quality_rules.measure_costs(spark.createDataFrame([(prose(k, 80),) for k in range(30)], "text string"), 2, 1)
+    assert set(found) == set(quality_rules.COSTS)
 
 
 def test_echoes(spark):
