@@ -27,18 +27,27 @@ def _components(nodes: str) -> str:
 
 def _licences() -> str:
     rows = ",".join(f"({k},{_quote(name)},{_quote(text)})" for k, (name, text) in enumerate((n, t) for n in sorted(TEMPLATES) for t in TEMPLATES[n]))
-    plain = "trim(regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' ')"
+    plain = "regexp_replace(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9\\n]+', ' ', 'g')"
+    line = "string_split(trim(regexp_replace({}, '[ \\n]+', ' ', 'g'), ' '), ' ')"
     grams = "select distinct {key}, ws[i]||' '||ws[i+1] g from (select *, unnest(range(1, len(ws))) i from {rows})"
     return f"""with tpl(k, name, txt) as (values {rows}),
- tw as (select k, name, string_split({plain.format('txt')}, ' ') ws from tpl),
- tg as ({grams.format(key='k, name', rows='tw')}), ts as (select k, name, count(*) m from tg group by all),
- raw as (select doc_id, unnest(list_concat(list_concat(string_split(coalesce(text,''), chr(10)), string_split_regex(coalesce(text,''), '\\n[ \\t\\r]*\\n')), [coalesce(text,'')])) u from documents),
- units as (select distinct doc_id, {plain.format('u')} u from raw),
- uw as (select doc_id, u, string_split(u, ' ') ws from units where contains(u, ' ')),
+ tw as (select k, name, {line.format(plain.format('txt'))} ws from tpl),
+ tg as ({grams.format(key='k, name', rows='tw')}), ts as (select k, name, count(*) m, any_value(len(ws)) n from tg join tw using (k, name) group by all),
+ norm as (select doc_id, {plain.format("coalesce(text,'')")} t from documents),
+ raw as (select doc_id, unnest(list_concat(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n(?: ?\\n)+')), [t])) u from norm),
+ units as (select distinct doc_id, {line.format('u')} ws from raw),
+ uw as (select doc_id, array_to_string(ws, ' ') u, ws from units where len(ws) > 1),
  ug as ({grams.format(key='doc_id, u', rows='uw')}), us as (select doc_id, u, count(*) a from ug group by all),
  common as (select ug.doc_id, ug.u, tg.k, count(*) n from ug join tg using (g) group by all),
  hits as (select c.doc_id, c.u, ts.name, 2.0::double*c.n/(us.a+ts.m) dice from common c join us on us.doc_id=c.doc_id and us.u=c.u join ts on ts.k=c.k where 2.0::double*c.n/(us.a+ts.m) >= {THRESHOLD}),
- one as (select doc_id, dice, name, row_number() over (partition by doc_id order by dice desc, name) r from hits),
+ whole as (select doc_id, {line.format('t')} ws from norm),
+ spots as (select doc_id, p, ws[p]||' '||ws[p+1] g from (select *, unnest(range(1, len(ws))) p from whole)),
+ near as (select spots.doc_id, tg.k, count(distinct g) c from spots join tg using (g) group by all),
+ starts as (select spots.doc_id, ts.k, ts.name, ts.m, ts.n, spots.p from spots join tg using (g) join ts on ts.k=tg.k join near on near.doc_id=spots.doc_id and near.k=tg.k where near.c >= 0.66*ts.m),
+ slid as (select s.doc_id, s.name, s.k, s.m, s.p, count(distinct spots.g) a, count(distinct case when tg.g is not null then spots.g end) c
+  from (select *, unnest(range(p, p+n-1)) q from starts) s join spots on spots.doc_id=s.doc_id and spots.p=s.q left join tg on tg.k=s.k and tg.g=spots.g group by all),
+ best as (select doc_id, name, dice from hits union all select doc_id, name, 2.0::double*c/(a+m) from slid where 2.0::double*c/(a+m) >= {THRESHOLD}),
+ one as (select doc_id, dice, name, row_number() over (partition by doc_id order by dice desc, name) r from best),
  n as (select doc_id, count(distinct u) n from hits group by doc_id)
  select d.doc_id, one.name licence, round(coalesce(one.dice, 0.0::double), 9) dice, coalesce(n.n, 0) n_licence_units
  from documents d left join one on one.doc_id=d.doc_id and one.r=1 left join n on n.doc_id=d.doc_id"""

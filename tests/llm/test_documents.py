@@ -100,32 +100,71 @@ def grams(t):
     return {f"{x} {y}" for x, y in zip(w, w[1:])}
 
 
+def plain_words(t):
+    return re.sub("[^a-z0-9]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in t)).split()
+
+
+def brute_licence(t, templates):
+    """(licence, dice, matching units) with every unit and every window compared with every template."""
+    t = re.sub("[^a-z0-9\n]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    units = {" ".join(plain_words(u)) for u in [*t.split("\n"), *re.split(r"\n(?: ?\n)+", t), t]}
+    fixed = [(name, x) for name in sorted(templates) for x in templates[name]]
+    scored = [[(dice(grams(u), grams(x)), name) for name, x in fixed] for u in units]
+    n = sum(max(own)[0] >= 0.8 for own in scored)
+    found = [h for own in scored for h in own if h[0] >= 0.8]
+    w = plain_words(t)
+    for name, x in fixed:
+        size, own = len(plain_words(x)), grams(x)
+        for p in range(len(w) - 1):
+            if f"{w[p]} {w[p + 1]}" in own and (s := dice(grams(" ".join(w[p : p + size])), own)) >= 0.8:
+                found.append((s, name))
+    best = min(found, key=lambda h: (-h[0], h[1]), default=(0.0, None))
+    return best[1], round(best[0], 9), n
+
+
 def test_licences(documents):
-    mit = licences.TEMPLATES["MIT"][1]
+    mit, full = licences.TEMPLATES["MIT"][2:4]
+    gpl = licences.TEMPLATES["GPL-3.0"][1]
+    code = "\n".join(f"x{k} = call({k}, y{k % 7})  # step {k}" for k in range(60))
     rows = HARD + [
         (20, prose(1, 30) + "\nReleased under the MIT License.\n" + prose(2, 30)), (21, mit.replace("Software", "Program", 2)), (22, "Licensed under CC BY 4.0."), (23, "Released under the MIT"),
         (24, "intro\n\n" + "\n".join(mit.split(". ")) + "\n\nmore " + prose(3, 50)), (25, "licensed UNDER the apache license -- version 2.0\nReleased under the MIT License."),
+        (26, f"The MIT License\n\nCopyright (c) 2020 A. Person\n\n{full}\n\n{code}"), (27, "Our parser is small and fast. Released under the MIT License. See the docs for more."),
+        (28, "# " + gpl.replace(". ", ".\n#\n# ") + "\n" + code), (29, f"{prose(4, 200)} {licences.TEMPLATES['BSD-3-Clause'][1]} {prose(5, 200)}"), (30, "the of and to in " * 30),
     ]
     out = licences.scan(documents(rows, extra=True))
     got = sorted(((r.doc_id, r["_licence"], round(r["_dice"], 9), r.n_licence_units) for r in out.collect()), key=repr)
-    expected = []
-    for i, t in rows:
-        t = t or ""
-        units = {re.sub("[^a-z0-9]+", " ", "".join(c.lower() if "A" <= c <= "Z" else c for c in u)).strip() for u in [*t.split("\n"), *re.split(r"\n[ \t\r]*\n", t), t]}
-        best = {u: max((dice(grams(u), grams(x)), name) for name, texts in licences.TEMPLATES.items() for x in texts) for u in units}
-        hits = [s for s, _ in best.values() if s >= 0.8]
-        names = [n for n in sorted(licences.TEMPLATES) for x in licences.TEMPLATES[n] for u in units if hits and dice(grams(u), grams(x)) == max(hits)]
-        expected.append((i, names[0] if hits else None, round(max(hits), 9) if hits else 0.0, len(hits)))
-    assert got == sorted(expected, key=repr)
+    assert got == sorted(((i, *brute_licence(t, licences.TEMPLATES)) for i, t in rows), key=repr)
+    by = {g[0]: g[1] for g in got}
+    assert [by[k] for k in (20, 22, 26, 27, 28, 29, 30)] == ["MIT", "CC-BY-4.0", "MIT", "MIT", "GPL-3.0", "BSD-3-Clause", None]
     assert licences.scan(documents([])).collect() == []
+    other = {"B": ("one two three four", "x"), "A": ("one two three four",)}
+    assert [r._licence for r in licences.scan(documents([(1, "zero one two three four five")], extra=True), other).collect()] == ["A"]
+    assert [r._licence for r in licences.scan(documents([(1, "a b")], extra=True), {}).collect()] == [None]
+
+
+#: Heads of files as they are found in public repositories, none of them a template itself.
+HEADERS = {
+    "Apache-2.0": "/*\n * Copyright 2019 The Project Authors\n *\n * Licensed under the Apache License, Version 2.0 (the \"License\");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     https://www.apache.org/licenses/LICENSE-2.0\n *\n * Unless required by applicable law or agreed to in writing, software\n * distributed under the License is distributed on an \"AS IS\" BASIS,\n * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n * See the License for the specific language governing permissions and\n * limitations under the License.\n */\nint main() { return 0; }",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nlet x = 1;",
+    "BSL-1.0": "// Copyright A. Person 2011.\n// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file LICENSE_1_0.txt or copy at\n// http://www.boost.org/LICENSE_1_0.txt)\n#pragma once",
+    "LGPL-2.1": "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 2.1 of the License, or (at your option) any later version.\n#\n# This library is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\n# Lesser General Public License for more details.\n#\n# You should have received a copy of the GNU Lesser General Public\n# License along with this library; if not, write to the Free Software\n# Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301 USA\nimport os",
+    "BSD-3-Clause": "// Copyright 2014 The Project Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.\nint x;",
+}
+
+
+def test_heads_of_real_files(documents):
+    got = {r.doc_id: r.licence for r in licences.scan(documents(list(enumerate(HEADERS.values())))).collect()}
+    assert [got[k] for k in range(len(HEADERS))] == list(HEADERS)
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
 def test_bounds_lose_no_template(threshold):
     for m in range(1, 60):
-        low, high = licences.bounds(m, threshold)
+        low, high, need = licences.bounds(m, threshold)
         for a in range(1, 200):
             assert (2 * min(a, m) >= threshold * (a + m)) == (low <= a <= high)
+            assert all(c >= need for c in range(1, min(a, m) + 1) if 2 * c >= threshold * (a + m))
 
 
 # ---- mixing
