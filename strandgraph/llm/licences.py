@@ -142,20 +142,24 @@ def bounds(m: int, threshold: float) -> tuple[int, int, int]:
 
 
 def _grams(words: Column) -> Column:
-    """The hashes of neighbouring words, in order."""
-    n = F.size(words)
-    return F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    """The hashes of neighbouring words, in order; words has one at least."""
+    n = F.size(words) - 1
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _hashes(pairs: list[tuple[str, str]]) -> str:
+    return "array(" + ", ".join(f"xxhash64('{a}', '{b}')" for a, b in pairs) + ")"
 
 
 def _template_column(fixed: list[tuple[str, list[str]]], threshold: float) -> Column:
-    """An array of (licence, words, grams, m, low, high, need), folded into one literal."""
+    """An array of (licence, words, m, low, high, need, grams), folded into one literal."""
     out = []
     for name, words in fixed:
         pairs = list(dict.fromkeys(zip(words, words[1:])))
         low, high, need = bounds(len(pairs), threshold)
-        numbers = {"words": len(words), "m": len(pairs), "low": low, "high": high, "need": need}
-        out.append(F.struct(F.lit(name).alias("licence"), F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in pairs)).alias("grams"), *(F.lit(v).alias(k) for k, v in numbers.items())))
-    return F.array(*out)
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        out.append(f"named_struct('licence', '{quoted}', 'words', {len(words)}, 'm', {len(pairs)}, 'low', {low}, 'high', {high}, 'need', {need}, 'grams', {_hashes(pairs)})")
+    return F.expr(f"array({', '.join(out)})")
 
 
 def _dice(unit: Column, t: Column) -> Column:
@@ -167,24 +171,24 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
     texts that match, equal ones counted once)."""
     fixed = template_words(TEMPLATES if templates is None else templates)
     licence, dice, n = (free_name(docs, x) for x in ("licence", "dice", "n_licence_units"))
-    names = [free_name(docs, f"licence_{x}") for x in ("text", "grams", "met", "alive", "units", "hits", "windows")]
-    plain, grams, met, alive, units, hits, windows = names
+    names = [free_name(docs, f"licence_{x}") for x in ("text", "words", "grams", "met", "alive", "units", "hits", "windows")]
+    plain, words, grams, met, alive, units, hits, windows = names
     none = F.array().cast("array<struct<dice:double,licence:string>>")
     one_line = lambda u: F.trim(F.regexp_replace(u, "[ \n]+", " "))
-    pairs = lambda u: _grams(F.split(u, " "))
     if not fixed:
         return docs.select("*", F.lit(None).cast("string").alias(licence), F.lit(0.0).alias(dice), F.lit(0).cast("bigint").alias(n))
     least = min(bounds(len(set(zip(w, w[1:]))), threshold)[2] for _, w in fixed)
     every = list(dict.fromkeys(p for _, w in fixed for p in zip(w, w[1:])))
     df = docs.withColumn(plain, F.regexp_replace(F.translate(text_or_empty(docs, text), UPPER, LOWER), "[^a-z0-9\n]+", " "))
-    df = df.withColumn(grams, pairs(one_line(F.col(plain))))
-    df = df.withColumn(met, F.array_intersect(F.col(grams), F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in every))))
+    df = df.withColumn(words, F.split(one_line(F.col(plain)), " ")).withColumn(grams, _grams(F.col(words))).drop(words)
+    df = df.withColumn(met, F.array_intersect(F.col(grams), F.expr(_hashes(every))))
     lives = F.filter(_template_column(fixed, threshold), lambda t: F.size(F.array_intersect(F.col(met), t["grams"])) >= t["need"])
     df = df.withColumn(alive, F.when(F.size(met) >= least, lives)).drop(met)
     some = F.coalesce(F.size(alive) > 0, F.lit(False))
     whole = F.col(plain)
     parts = F.array_union(F.split(whole, "\n"), F.array_union(F.split(whole, "\n(?: ?\n)+"), F.array(whole)))
-    df = df.withColumn(units, F.when(some, F.transform(F.array_distinct(F.transform(parts, one_line)), lambda u: F.array_distinct(pairs(u)))))
+    lists = F.transform(F.array_distinct(F.transform(parts, one_line)), lambda u: F.split(u, " "))
+    df = df.withColumn(units, F.when(some, F.transform(lists, lambda w: F.array_distinct(_grams(w)))))
 
     def best(unit: Column) -> Column:
         fits = F.filter(F.col(alive), lambda t: F.size(unit).between(t["low"], t["high"]))
