@@ -60,7 +60,8 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
     elif a.command == "report":
         show(open_compressed(spark, a.table).report())
     else:
-        graph = Graph(Graph.open(spark, a.table).edges.persist())
+        links = Graph.open(spark, a.table).edges.persist()  # decoded once for all starts and rounds
+        graph = Graph(links)
         if a.command == "bfs":
             for start in a.starts:
                 found = graph.bfs(start, ordered=a.listed)
@@ -70,6 +71,7 @@ def run(spark: SparkSession, argv: list[str] | None = None) -> None:
         else:
             ranks = graph.pagerank(a.iterations, a.alpha, a.compat)
             show(ranks.filter(F.col("node").isin(a.nodes)).orderBy("node").union(top_rank(ranks)))
+        links.unpersist()
 
 
 if __name__ == "__main__":

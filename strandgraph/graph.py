@@ -40,9 +40,6 @@ class Graph:
         return compress.compress(self.edges, **options)
 
     def bfs(self, start: int, ordered: bool = False) -> DataFrame:
-        top = self.stats().first()["max_id"]
-        if top is None or not 0 <= start <= top:
-            raise ValueError(f"start must be between 0 and {top}")
         return traversal.bfs_ordered(self.edges, start) if ordered else traversal.bfs(self.edges, start)
 
     def pagerank(self, iterations: int = 5, alpha: float = 0.15, compat: bool = False) -> DataFrame:

@@ -177,6 +177,15 @@ class Reader:
         self.codes = {s: fmt.code(s) for s in SECTIONS[fmt.variant]}
         self.window: OrderedDict[int, list[int]] = OrderedDict()
 
+    def reference(self, bits: str) -> int:
+        """How far back the list refers, 0 if to none."""
+        at = 0
+        if self.fmt.variant == "final":
+            size, at = decode(bits, at, self.codes["size"])
+            if not size:
+                return 0
+        return decode(bits, at, self.codes["reference"])[0] if self.fmt.variant != "G" else 0
+
     def read(self, node: int, bits: str) -> list[int]:
         """The list in decoded order."""
         fmt, codes = self.fmt, self.codes
@@ -280,9 +289,29 @@ class Compressed:
         return self.decoded().select(F.col("node").alias("src"), F.explode("succ").alias("dst"))
 
     def successors(self, node: int) -> DataFrame:
-        """The list of one node, decoded from its chunk alone."""
-        own = self.lists.filter((F.col("chunk") == node // self.fmt.chunk) & (F.col("node") <= node))
-        return self.decoded(own).filter(F.col("node") == node).select(F.explode("succ").alias("dst"))
+        """The list of one node. Of its chunk only the list and those it refers to, mrc at most, are decoded."""
+        fmt = self.fmt
+        own = self.lists.filter((F.col("chunk") == node // fmt.chunk) & (F.col("node") <= node) & (F.col("nbits") > 0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raw = {}
+            for batch in batches:
+                for of, n, bits in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    raw[of] = (n, bits)
+            chain, reader = [], Reader(fmt)
+            at = node
+            while at in raw:
+                chain.append((at, unpack(raw[at][1], raw[at][0])))
+                back = reader.reference(chain[-1][1])
+                if not back:
+                    break
+                at -= back
+            succ: list[int] = []
+            for of, bits in reversed(chain):
+                succ = reader.read(of, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(succ), pa.int64())], ["dst"])
+
+        return own.select("node", "nbits", "bits").repartition(1).mapInArrow(run, "dst bigint")
 
     def offsets(self) -> DataFrame:
         """(node, start): the bit at which each list would start in one stream."""

@@ -9,14 +9,19 @@ from . import basics
 from .ordering import cut, numbered
 
 
+def _in_range(links: DataFrame, starts: list[int]) -> None:
+    top = links.agg(F.max(F.greatest("src", "dst")).alias("top")).first()["top"]
+    if wrong := [s for s in starts if top is None or not 0 <= s <= top]:
+        raise ValueError(f"starts must be between 0 and {top}, not {wrong[0]}")
+
+
 def bfs(edges: DataFrame, start: int | list[int], max_levels: int | None = None) -> DataFrame:
     """(node, level): the fewest links from a start; starts are in it themselves, with level 0."""
     spark = edges.sparkSession
     starts = sorted({start} if isinstance(start, int) else set(start))
-    if any(s < 0 for s in starts):
-        raise ValueError("ids start at 0")
     links = edges.select("src", "dst").repartition("src").persist()
     try:
+        _in_range(links, starts)
         seen = cut(spark.createDataFrame([(s, 0) for s in starts], "node bigint, level int"))
         front, level = seen.select("node"), 0
         while max_levels is None or level < max_levels:
@@ -39,6 +44,7 @@ def bfs_ordered(edges: DataFrame, start: int) -> DataFrame:
     spark = edges.sparkSession
     links = edges.select("src", "dst").repartition("src").persist()
     try:
+        _in_range(links, [start])
         seen = cut(spark.createDataFrame([(start, 0, 0)], "node bigint, level int, visit_pos bigint"))
         front, level, done = seen, 0, 1
         while True:

@@ -13,7 +13,7 @@ SQL = {
     "order_cust": "select distinct o_orderkey s, o_custkey t from orders",
     "cust_order": "select distinct o_custkey s, o_orderkey t from orders",
     "user_seq": "select distinct s, t from (select user_id s, lead(user_id) over (order by ts, event_id) t from events) where t is not null",
-    "sparse": "select distinct o_custkey*3 s, l_partkey*7+1 t from orders join lineitem on o_orderkey=l_orderkey where o_orderkey%10=0",
+    "sparse": "select distinct o_custkey*3 s, l_partkey*7+1 t from orders join lineitem on o_orderkey=l_orderkey",
 }
 
 
@@ -33,7 +33,7 @@ def graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         after = placed.select((F.col("place") - 1).alias("place"), F.col("user_id").alias("next_user"))
         return edges_from(placed.join(after, "place"), "user_id", "next_user")
     if name == "sparse":
-        orders = read("orders").filter(F.col("o_orderkey") % 10 == 0).select("o_orderkey", "o_custkey")
+        orders = read("orders").select("o_orderkey", "o_custkey")
         lines = read("lineitem").select("l_orderkey", "l_partkey")
         both = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         return edges_from(both.select((F.col("o_custkey") * 3).alias("a"), (F.col("l_partkey") * 7 + 1).alias("b")), "a", "b")

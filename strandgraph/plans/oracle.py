@@ -95,7 +95,8 @@ def oracle_sql() -> dict[str, str]:
         "sinks": _with("supp_part", "", "select distinct t node from e where t not in (select s from e)"),
         "has_successors": _with("sparse", _NODES, "select v node, case when v in (select s from e) then 1 else 0 end has_succ from nodes"),
         "self_loops": _with("user_seq", "", "select s src, t dst from e where s=t"),
-        "sort_validate": "select 0::bigint violations",
+        "sort_validate": "select count(*) violations from (select l_partkey s, l_suppkey t, lag(l_partkey) over w ps, lag(l_suppkey) over w pt from lineitem window w as (order by l_orderkey, l_linenumber, l_partkey, l_suppkey)) where ps > s or (ps = s and pt >= t)",
+        "sort_validate_text": "select 0::bigint violations",
         "edges_sorted": _with("part_supp", "", "select s src, t dst, row_number() over(order by s,t)-1 place from e"),
         "renumber_map": _with("sparse", "", "select old old_id, dense_rank() over(order by old)-1 new_id from (select s old from e union select t from e)"),
         "adjacency_list": _with("part_supp", "", f"select s node, {_LIST} succ from e group by s"),

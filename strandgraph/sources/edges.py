@@ -31,6 +31,24 @@ def write_text(edges: DataFrame, path: str) -> None:
     edges.orderBy("src", "dst").select(F.concat_ws(" ", "src", "dst")).write.mode("errorifexists").text(path)
 
 
+def read_ordered(spark: SparkSession, path: str, comment: str = "#") -> DataFrame:
+    """(file, block, line, src, dst): the lines of text files as they come, with what gives their order; nothing is made distinct."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.trim("value").alias("value"))
+    parts = F.split("value", r"\s+")
+    kept = lines.filter(~F.col("value").startswith(comment) & (F.col("value") != ""))
+    return kept.select("file", "block", "line", F.get(parts, F.lit(0)).cast("bigint").alias("src"), F.get(parts, F.lit(1)).cast("bigint").alias("dst"))
+
+
+def out_of_order(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows (src, dst) that don't come after the row before them, by (src, dst), where columns order give the rows' order;
+    only equal rows may tie in it."""
+    from ..operators.ordering import numbered
+
+    placed = numbered(rows.select(*dict.fromkeys([*order, "src", "dst"])), order, "place")
+    before = placed.select((F.col("place") + 1).alias("place"), F.struct("src", "dst").alias("before"))
+    return placed.join(before, "place").filter(F.col("before") >= F.struct("src", "dst")).select("place", "src", "dst")
+
+
 def unsorted(rows: DataFrame, place: str) -> DataFrame:
     """The rows (src, dst) that don't come after the one before them of the same source, in the order of column place."""
     from pyspark.sql import Window

@@ -37,11 +37,13 @@ def test_search_against_a_queue(edges, seed):
 
 
 def test_search_from_a_lonely_node(edges):
-    assert rows(traversal.bfs(edges([(0, 1)]), 7), "node", "level") == [(7, 0)]
-    assert rows(traversal.bfs(edges([]), 7), "node", "level") == [(7, 0)]
+    assert rows(traversal.bfs(edges([(0, 1), (9, 0)]), 7), "node", "level") == [(7, 0)]
     assert rows(traversal.bfs(edges([(0, 1), (1, 2), (2, 3)]), 0, max_levels=2), "node", "level") == [(0, 0), (1, 1), (2, 2)]
-    with pytest.raises(ValueError):
-        traversal.bfs(edges([]), -1)
+    for links, start in (([], 0), ([], -1), ([(0, 1)], 2), ([(0, 1)], -1), ([(0, 1)], [0, 10**12])):
+        with pytest.raises(ValueError):
+            traversal.bfs(edges(links), start)
+        with pytest.raises(ValueError):
+            traversal.bfs_ordered(edges(links), start if isinstance(start, int) else max(start))
 
 
 # Ranks of the toy graph after 5 rounds with alpha 0.15.
@@ -120,6 +122,22 @@ def test_text_source(spark, tmp_path):
 def test_order_check(spark):
     rows_ = spark.createDataFrame([(0, 1, 2), (1, 1, 2), (2, 1, 5), (3, 1, 4), (4, 2, 0)], "place bigint, src bigint, dst bigint")
     assert rows(source.unsorted(rows_, "place"), "place") == [(1,), (3,)]
+    assert rows(source.out_of_order(rows_, ["place"]), "src", "dst") == [(1, 2), (1, 4)]
+
+
+def test_order_check_of_a_text_file(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# head\n1 2\n1 3\n\n2 0\n1 9\n1 9\n")
+    (tmp_path / "b.txt").write_text("0 1\n5 5\n")
+    found = source.out_of_order(source.read_ordered(spark, str(tmp_path)), ["file", "block", "line"])
+    assert rows(found, "src", "dst") == [(0, 1), (1, 9), (1, 9)]
+    many = "".join(f"{k} {k + 1}\n" for k in range(200_000))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "long.txt").write_text(many)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert source.out_of_order(source.read_ordered(spark, str(tmp_path / "c")), ["file", "block", "line"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_edges_from_ignores_nulls_and_repeats(spark):
