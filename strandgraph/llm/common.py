@@ -22,10 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """Make checkpoint() usable: the folder is the session's spark.checkpoint.dir; a local one only where that is unset."""
+    """Make checkpoint() usable: the folder is the session's spark.checkpoint.dir; a local one only where that is unset and Spark
+    runs in one process, as executors elsewhere couldn't read it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
     return spark
 
 
