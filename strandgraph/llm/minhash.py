@@ -130,7 +130,7 @@ def _pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple
         table[row[lo:hi], column[lo:hi] - at] = 1
         shared += table[:n] @ table[n:].T
     shared = np.rint(shared).astype(np.int64)
-    i, j = np.nonzero(whole * shared >= part * (sizes[:n, None] + sizes[None, n:] - shared))
+    i, j = np.nonzero((shared > 0) & (whole * shared >= part * (sizes[:n, None] + sizes[None, n:] - shared)))
     return left[i], right[j]
 
 
