@@ -10,9 +10,13 @@
 4. A star's members are cut into blocks by a hash; a task has one block and the hub, or two blocks, whatever the size of the
    star. There links are confirmed on the full sets, made anew from the texts, which travel compressed; only which node is
    joined with which leaves a task.
-5. Members that the first pass leaves outside their hub's component are compared, block by block, with all members of the
-   star. Two documents that share a bucket are in its hub's star, so each such pair is decided or in one component already;
-   nothing is capped.
+5. A star of one block is decided by then. In larger ones, members that the first pass leaves outside their hub's component may
+   still link with members of other blocks. A prefix filter, which loses nothing, finds which: with a star's shingles in any one
+   order, two sets of similarity t share a shingle among the first 1 - 2t / (1 + t) of the smaller one's and the first 1 - t
+   of the larger one's. In the order from rare to frequent, by counts in a few members, pages of one template share none
+   there, so they go without a comparison.
+6. What the filter leaves is compared block by block. Two documents that share a bucket are in its hub's star, so each such
+   pair is decided or in one component already; nothing is capped.
 
 Defined results: a null or empty text has no shingles and links with nothing; fewer words than n are one shingle. Rows that
 share an id are one document with several texts, linked with whatever one of them is linked with. A row with a null id is
@@ -35,10 +39,14 @@ from .word_hashes import Chunk, chunks, grams, mix
 BINS, BANDS, BAND_ROWS = 256, 42, 6
 #: Members of a star in a block; a task holds two blocks at most.
 BLOCK = 256
+#: Members of a star, about, whose shingles' counts order its shingles; they only make the order good, any is exact.
+PIVOTS = 32
 #: Shingles of one side that are compared at once, so that a task's tables stay small if texts are long.
 STRETCH = 250_000
 #: Shingles whose rows are a matrix at a time: 16 MB for two blocks.
 SLAB = 8192
+#: Shingles that leave a task in one batch, about.
+BATCH = 1 << 17
 #: Similarity as a fraction of whole numbers.
 SIMILARITY = (80, 100)
 
@@ -156,44 +164,114 @@ def _joined(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
         label = lower
 
 
-def _linked(n: int):
-    """Links (node, low) within each task (hub, task): rows with side 0 or 2 against rows with side 1 or 2, by full sets."""
+def _by_task(group):
+    """Batches of (hub, task, node, side, blob), sorted by the first two, to group(hub, nodes, sides, texts) for each (hub, task)."""
 
-    def group(rows: list[tuple]) -> pa.RecordBatch | None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        release()
         d = zstandard.ZstdDecompressor()
-        nodes = np.array([r[0] for r in rows])
-        sides = np.array([r[1] for r in rows])
-        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-        if not len(left) or not len(right) or len(rows) < 2:
-            return None
-        texts = pa.array([d.decompress(r[2]).decode() for r in rows], pa.large_string())
-        label = _joined([s for _, chunk in chunks(texts, lower=True) for s in shingle_sets(chunk, n)], left, right)
-        keep = np.flatnonzero(label != np.arange(len(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(nodes[label[keep]], pa.int64())], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
+        def texts_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            texts = pa.array([d.decompress(r[2]).decode() for r in rows], pa.large_string())
+            return group(key[0], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), texts)
+
         key, rows = None, []
         for batch in batches:
             for hub, task, node, side, blob in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 if (hub, task) != key:
-                    if rows and (out := group(rows)):
-                        yield out
+                    if rows:
+                        yield from texts_of(rows)
                     key, rows = (hub, task), []
                 rows.append((node, side, blob))
-        if rows and (out := group(rows)):
-            yield out
+        if rows:
+            yield from texts_of(rows)
 
     return run
 
 
+def _linked(n: int):
+    """Links (node, low) within a task: rows with side 0 or 2 against rows with side 1 or 2, by full sets."""
+
+    def group(hub: int, nodes: np.ndarray, sides: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        left, right = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        if len(left) and len(right) and len(nodes) > 1:
+            label = _joined([s for _, chunk in chunks(texts, lower=True) for s in shingle_sets(chunk, n)], left, right)
+            keep = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(nodes[label[keep]], pa.int64())], ["a", "b"])
+
+    return group
+
+
+def _prefixes(size: int) -> tuple[int, int]:
+    """How many first shingles of a set of this size one of those shared is among, if the other set of a link is at most as large, and if
+    it is at least as large."""
+    part, whole = SIMILARITY
+    return size - -(-part * size // whole) + 1, size - -(-2 * part * size // (whole + part)) + 1
+
+
+def _rare(n: int):
+    """First shingles (hub, shingle, node, early, apart) of the rows with side 0 or 2 (apart), in the order of the rows with side 1."""
+
+    def group(hub: int, nodes: np.ndarray, sides: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        def sets(rows: np.ndarray) -> Iterator[np.ndarray]:
+            for _, chunk in chunks(texts.take(pa.array(rows)), lower=True):
+                yield from shingle_sets(chunk, n)
+
+        kinds, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets(np.flatnonzero(sides == 1))]), return_counts=True)
+        members, found, held = np.flatnonzero(sides != 1), [], 0
+
+        def batch() -> pa.RecordBatch:
+            shingles, early, lengths, rows = (np.concatenate([f[k] for f in found]) for k in range(4))
+            rows = np.repeat(rows, lengths)
+            columns = [np.full(len(rows), hub), shingles.view(np.int64), nodes[rows], early, sides[rows] == 2]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["hub", "shingle", "node", "early", "apart"])
+
+        for row, s in zip(members, sets(members)):
+            often = np.zeros(len(s), np.int64)
+            if len(kinds):
+                at = np.minimum(np.searchsorted(kinds, s), len(kinds) - 1)
+                often = np.where(kinds[at] == s, counts[at], 0)
+            longer, shorter = _prefixes(len(s))
+            first = s[np.argsort(often, kind="stable")[:longer]]  # s is sorted, so of equal counts the least hash is first
+            found.append((first, np.arange(len(first)) < shorter, [len(first)], [row]))
+            held += len(first)
+            if held >= BATCH:
+                yield batch()
+                found, held = [], 0
+        if found:
+            yield batch()
+
+    return group
+
+
+def _in_tasks(tasks: DataFrame, texts: DataFrame) -> DataFrame:
+    """tasks (hub, task, node, side) with the nodes' texts, those of a task together."""
+    full = tasks.join(texts, tasks["node"] == texts["key"]).select("hub", "task", "node", "side", "blob")
+    return full.repartition("hub", "task").sortWithinPartitions("hub", "task")
+
+
 def _confirm(tasks: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b): links found in tasks (hub, task, node, side)."""
-    full = tasks.join(texts, tasks["node"] == texts["key"]).select("hub", "task", "node", "side", "blob")
-    dealt = full.repartition("hub", "task").sortWithinPartitions("hub", "task")
-    return cut(dealt.mapInArrow(_linked(n), "a bigint, b bigint"))
+    return cut(_in_tasks(tasks, texts).mapInArrow(_by_task(_linked(n)), "a bigint, b bigint"))
+
+
+def _able(stars: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """The rows of stars (hub, node, m, apart) that may be in a link with one apart; all others certainly aren't."""
+    places = _parts("m")
+    pivot = F.pmod(F.xxhash64("node", F.lit("pivot")), F.ceil(F.col("m") / PIVOTS)) == 0
+    members = stars.select("hub", _dealt(places).alias("task"), "node", F.when(F.col("apart"), 2).otherwise(0).alias("side"))
+    pivots = stars.filter(pivot).select("hub", F.explode(F.sequence(F.lit(0), places - 1)).alias("task"), "node", F.lit(1).alias("side"))
+    schema = "hub bigint, shingle bigint, node bigint, early boolean, apart boolean"
+    first = cut(_in_tasks(members.unionByName(pivots), texts).mapInArrow(_by_task(_rare(n)), schema))
+    met = first.groupBy(F.col("hub").alias("h2"), F.col("shingle").alias("s2")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("early").alias("early"), F.max("apart").alias("apart")
+    )
+    met = met.filter("rows > 1 AND early AND apart").select("h2", "s2")
+    found = first.join(met, (F.col("hub") == F.col("h2")) & (F.col("shingle") == F.col("s2")))
+    found = found.select(F.col("hub").alias("h2"), F.col("node").alias("n2")).distinct()
+    return cut(stars.join(found, (F.col("hub") == F.col("h2")) & (F.col("node") == F.col("n2")), "left_semi"))
 
 
 def _stars(nodes: DataFrame) -> DataFrame:
@@ -236,20 +314,21 @@ def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "t
     own = F.when(F.col("hub") == F.col("node"), F.sequence(F.lit(0), _parts("m") - 1)).otherwise(F.array(_dealt(_parts("m"))))
     first = stars.select("hub", F.explode(own).alias("task"), "node", F.lit(2).alias("side"))
     links = _confirm(first, texts, n)
-    # what isn't in its hub's component by now is compared with all blocks of the star
-    of = components(links).select(F.col("node").alias("of"), "component")
-    known = stars.join(of, F.col("node") == F.col("of"), "left").select("hub", "node", "m", F.coalesce("component", "node").alias("component"))
-    known = cut(known)
-    centre = known.filter("hub = node").select(F.col("hub").alias("h0"), F.col("component").alias("theirs"))
-    judged = cut(known.join(centre, F.col("hub") == F.col("h0")).select("hub", "node", "m", (F.col("component") != F.col("theirs")).alias("apart")))
-    left_over = cut(judged.filter("apart").groupBy(F.col("hub").alias("h1")).agg(F.count(F.lit(1)).alias("k")))
-    both = judged.join(left_over, F.col("hub") == F.col("h1")).filter("m > 2")
-    places = _parts("m")
-    rows = both.filter("apart").select("hub", "node", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), places - 1)).alias("j"), _dealt(_parts("k")).alias("i"))
-    columns = both.select("hub", "node", F.lit(1).alias("side"), _dealt(places).alias("j"), F.explode(F.sequence(F.lit(0), _parts("k") - 1)).alias("i"))
-    second = rows.unionByName(columns).select("hub", (F.col("i").cast("bigint") * (1 << 31) + F.col("j")).alias("task"), "node", "side")
-    links = links.union(_confirm(second, texts, n))
     labels = components(links).select(F.col("node").alias("of"), "component")
+    # what a larger star has outside its hub's component by now may link with members of other blocks
+    large = cut(stars.filter(F.col("m") > BLOCK).join(labels, F.col("node") == F.col("of"), "left").select("hub", "node", "m", F.coalesce("component", "node").alias("component")))
+    centre = large.filter("hub = node").select(F.col("hub").alias("h0"), F.col("component").alias("theirs"))
+    judged = cut(large.join(centre, F.col("hub") == F.col("h0")).select("hub", "node", "m", (F.col("component") != F.col("theirs")).alias("apart")))
+    open_stars = cut(judged.filter("apart").select(F.col("hub").alias("h1")).distinct())
+    if not open_stars.isEmpty():
+        able = _able(judged.join(open_stars, F.col("hub") == F.col("h1"), "left_semi"), texts, n)
+        sizes = cut(able.groupBy(F.col("hub").alias("h1")).agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("k")).filter("k > 0"))
+        both = able.join(sizes, F.col("hub") == F.col("h1"))
+        places, own = _parts("all"), _parts("k")
+        rows = both.filter("apart").select("hub", "node", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), places - 1)).alias("j"), _dealt(own).alias("i"))
+        columns = both.select("hub", "node", F.lit(1).alias("side"), _dealt(places).alias("j"), F.explode(F.sequence(F.lit(0), own - 1)).alias("i"))
+        second = rows.unionByName(columns).select("hub", (F.col("i").cast("bigint") * (1 << 31) + F.col("j")).alias("task"), "node", "side")
+        labels = components(links.union(_confirm(second, texts, n))).select(F.col("node").alias("of"), "component")
     groups = nodes.select("d1", "d2", "node").join(labels, F.col("node") == F.col("of"), "left")
     groups = cut(groups.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "node").alias("component")))
     rows = sets.select("key", "n_shingles", "d1", "d2")

@@ -180,6 +180,41 @@ def test_small_blocks_change_nothing(documents, monkeypatch):
     assert found_near(documents(rows), 4) == brute_near(rows, 4)
 
 
+def test_prefixes_lose_no_link():
+    part, whole = minhash.SIMILARITY
+    for a in range(1, 60):
+        for b in range(a, 80):
+            least = next((c for c in range(1, a + 1) if whole * c >= part * (a + b - c)), None)
+            if least:  # the first shared shingle has least - 1 others behind it in either set, in any one order
+                assert minhash._prefixes(a)[1] >= a - least + 1 and minhash._prefixes(b)[0] >= b - least + 1
+
+
+def templated(seed, size, fixed, own, linked):
+    """size pages of a template of fixed words with own words of their own, and copies of some with one word changed."""
+    r = random.Random(seed)
+    base = prose(seed, fixed).split()
+    rows = []
+    for i in range(size):
+        mine = [f"own{i}x{k}" for k in range(own)]
+        rows.append((3 * i + 1, " ".join(base[: fixed // 2] + mine + base[fixed // 2 :])))
+    rows += [(3 * i + 2, rows[i][1].replace(f"own{i}x1 ", "changed ")) for i in r.sample(range(size), linked)]
+    r.shuffle(rows)
+    return rows
+
+
+def test_pages_of_one_template_are_not_compared_with_all_others(documents, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "PIVOTS", 8)
+    rows, able = templated(11, 300, 120, 24, 12), []
+    filtered = minhash._able
+    monkeypatch.setattr(minhash, "_able", lambda stars, *more: able.append((stars.count(), filtered(stars, *more))) or able[-1][1])
+    expected = brute_near(rows, 4)
+    assert len({c for _, _, c in expected}) == 300
+    assert found_near(documents(rows), 4) == expected
+    [(all_rows, left)] = able
+    assert all_rows >= 300 and left.count() <= 0.1 * all_rows
+
+
 def test_near_duplicates_of_hard_rows(documents):
     assert found_near(documents(HARD, extra=True), 4) == brute_near(HARD, 4)
     assert found_near(documents([]), 4) == []
