@@ -31,20 +31,24 @@ def encode(v: int, c: Code) -> str:
     return "0" * h + "1" + tail
 
 
+class _Words(dict):
+    """The words of a code by value; those of small values are kept, so that they are one lookup."""
+
+    def __init__(self, spec: Code):
+        super().__init__()
+        self.spec = spec
+
+    def __missing__(self, v: int) -> str:
+        word = encode(v, self.spec)
+        if v < 1 << 16:
+            self[v] = word
+        return word
+
+
 @lru_cache(None)
 def encoder(spec: Code) -> Callable[[int], str]:
     """encode() for one code, with the words of small values kept."""
-    kept: dict[int, str] = {}
-
-    def run(v: int) -> str:
-        word = kept.get(v)
-        if word is None:
-            word = encode(v, spec)
-            if v < 1 << 16:
-                kept[v] = word
-        return word
-
-    return run
+    return _Words(spec).__getitem__
 
 
 def _zeros(bits: str, at: int) -> int:

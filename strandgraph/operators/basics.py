@@ -38,10 +38,15 @@ def self_loops(edges: DataFrame) -> DataFrame:
     return edges.filter("src = dst")
 
 
-def universe(edges: DataFrame) -> DataFrame:
-    """All ids from 0 to the greatest one."""
-    top = stats(edges).first()["num_ids"]
-    return edges.sparkSession.range(top).withColumnRenamed("id", "node")
+def num_ids(edges: DataFrame) -> int:
+    """The greatest id and 1; 0 without links. One pass without a shuffle."""
+    top = edges.agg(F.max(F.greatest("src", "dst")).alias("top")).first()["top"]
+    return 0 if top is None else top + 1
+
+
+def universe(edges: DataFrame, ids: int | None = None) -> DataFrame:
+    """All ids from 0 to the greatest one. ids: num_ids(edges), if known."""
+    return edges.sparkSession.range(num_ids(edges) if ids is None else ids).withColumnRenamed("id", "node")
 
 
 def has_successors(edges: DataFrame) -> DataFrame:
@@ -67,11 +72,11 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_list("dst")).alias("succ"))
 
 
-def adjacency_filled(edges: DataFrame) -> DataFrame:
+def adjacency_filled(edges: DataFrame, ids: int | None = None) -> DataFrame:
     """adjacency() with empty lists for all other ids up to the greatest one."""
     lists = adjacency(edges).withColumnRenamed("node", "of")
     empty = F.array().cast("array<bigint>")
-    return universe(edges).join(lists, F.col("node") == F.col("of"), "left").select("node", F.coalesce("succ", empty).alias("succ"))
+    return universe(edges, ids).join(lists, F.col("node") == F.col("of"), "left").select("node", F.coalesce("succ", empty).alias("succ"))
 
 
 def successors(edges: DataFrame, node: int) -> DataFrame:

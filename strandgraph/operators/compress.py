@@ -87,11 +87,10 @@ class Writer:
         self.window: deque = deque(maxlen=fmt.ws)
 
     def _gaps(self, node: int, succ: list[int]) -> str:
-        put, out, before = self.put["residuals"], [], None
-        for x in succ:
-            out.append(put(_zigzag(node, x) if before is None else x - before - 1))
-            before = x
-        return "".join(out)
+        if not succ:
+            return ""
+        put = self.put["residuals"]
+        return put(_zigzag(node, succ[0])) + "".join([put(x - before - 1) for before, x in zip(succ, succ[1:])])
 
     def _reference(self, own: set[int]) -> tuple | None:
         best, score = None, 0
@@ -236,21 +235,34 @@ class Reader:
         return out
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column without nulls; faster than its to_pylist()."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy().tolist()
+    ends = (ends - ends[0]).tolist()
+    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
 def _write_chunks(fmt: Format):
     names = ("size", "reference", "block_count", "blocks", "intervals", "residuals")
+    zeros = (0,) * len(names)
+    types = [_ARROW.field(k).type for k in range(2, 8)] + [pa.int64()] * len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, writer = None, None
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("chunk", "node", "outdeg", "nbits", "bits", "ref_node", "chain", "copied", "sections")}
-            for own, node, succ in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            if not len(batch):
+                continue
+            chunks, nodes = (batch.column(k).to_pylist() for k in range(2))
+            lists = _lists(batch.column(2))
+            rows = []
+            for own, node, succ in zip(chunks, nodes, lists):
                 if own != chunk:
                     chunk, writer = own, Writer(fmt)
                 e = writer.write(node, succ)
-                row = (own, node, len(succ), len(e.bits), pack(e.bits), node - e.reference if e.reference else None, e.chain, e.copied, {s: e.sections.get(s, 0) for s in names})
-                for c, v in zip(out, row):
-                    out[c].append(v)
-            yield pa.RecordBatch.from_pylist([dict(zip(out, r)) for r in zip(*out.values())], schema=_ARROW)
+                rows.append((len(succ), len(e.bits), pack(e.bits), node - e.reference if e.reference else None, e.chain, e.copied, *map(e.sections.get, names, zeros)))
+            columns = [batch.column(0), batch.column(1), *map(pa.array, zip(*rows), types)]
+            yield pa.RecordBatch.from_arrays([*columns[:8], pa.StructArray.from_arrays(columns[8:], names)], schema=_ARROW)
 
     return run
 
@@ -331,15 +343,20 @@ class Compressed:
     def write(self, path: str) -> None:
         """Lists as Parquet under path/lists, sorted by chunk and node; the format as JSON text under path/format."""
         spark = self.lists.sparkSession
-        self.lists.repartitionByRange("chunk").sortWithinPartitions("chunk", "node").write.parquet(f"{path}/lists")
+        # compress() deals chunks out by range, so files hold ranges of ids without another pass over the lists
+        self.lists.sortWithinPartitions("chunk", "node").write.parquet(f"{path}/lists")
         spark.createDataFrame([(json.dumps(asdict(self.fmt), sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/format")
 
 
 def compress(edges: DataFrame, fmt: Format | None = None, **options) -> Compressed:
     """Compress links (src, dst). options are those of Format."""
     fmt = fmt or Format(**options)
-    lists = basics.adjacency_filled(edges).select(F.floor(F.col("node") / fmt.chunk).cast("bigint").alias("chunk"), "node", "succ")
-    dealt = lists.repartition("chunk").sortWithinPartitions("chunk", "node")
+    ids = basics.num_ids(edges)
+    lists = basics.adjacency_filled(edges, ids).select(F.expr(f"node div {fmt.chunk}").alias("chunk"), "node", "succ")
+    chunks = max(1, -(-ids // fmt.chunk))
+    parts = min(chunks, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = F.floor(F.col("chunk") / F.lit(chunks) * parts).cast("int")  # successive chunks share a partition, so none needs a sample
+    dealt = lists.repartitionById(parts, own).sortWithinPartitions("chunk", "node")
     return Compressed(dealt.mapInArrow(_write_chunks(fmt), _SPARK), fmt)
 
 
