@@ -1,8 +1,9 @@
 """Compressed lists as one binary file: codes, sizes, offsets and one stream of bits, all whole numbers little-endian.
 
 The file doesn't say its variant, nor (but for ``final``) how far references look back, so both are given when it is read. It is
-one stream whose lists refer to each other, so it is read in one task and written through the driver, a little at a time;
-the Parquet form of compress.py is the one that scales. Lists compressed in chunks make a valid stream too, as references
+one stream whose lists refer to each other, so it is read in one task. Its bits are joined to blocks of many lists by the
+executors; the driver only lines the blocks up, one at a time, as a file has one writer. The Parquet form of compress.py is
+the one that scales. Lists compressed in chunks make a valid stream too, as references
 stay inside a chunk.
 """
 
@@ -11,6 +12,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.bitcodes import decode, pack, unpack
 from ..functions.codes import Code
 from ..operators.compress import Compressed, Format
+from ..operators.ordering import cut
 
 # Fixed values of the file format: code numbers, the codes at the head of each variant, the 64-bit numbers after them.
 CODE_NUMBERS = ("unary", "gamma", "delta", "nibble", "zeta")
@@ -58,36 +61,56 @@ def _parse(raw: bytes, variant: str) -> tuple[dict[str, str], dict[str, int], in
     return codes, dict(zip(names, struct.unpack_from(f"<{len(names)}Q", raw, at))), at + 8 * len(names)
 
 
+#: Bits of a block of lists, about.
+BLOCK_BITS = 1 << 22
+
+
+def _blocks(step: int):
+    """Sorted lists (node, nbits, bits) to blocks (first, nbits, bits, starts); starts are those of the nodes that step divides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes = (batch.column(k).to_numpy() for k in range(2))
+            ends = np.cumsum(sizes)
+            borders = [0, *(np.flatnonzero(np.diff(ends // BLOCK_BITS)) + 1).tolist(), len(nodes)]
+            for a, b in zip(borders, borders[1:]):
+                if a == b:
+                    continue
+                bits = "".join(map(unpack, batch.column(2).slice(a, b - a).to_pylist(), sizes[a:b].tolist()))
+                starts = (ends[a:b] - sizes[a:b] - (ends[a] - sizes[a]))[nodes[a:b] % step == 0]
+                row = {"first": int(nodes[a]), "nbits": len(bits), "bits": pack(bits), "starts": starts.astype("<i8").tobytes()}
+                yield pa.RecordBatch.from_pylist([row])
+
+    return run
+
+
 def write_stream(lists: Compressed, path: str) -> None:
     """One file at path, which mustn't be there yet; any file system that Spark knows."""
     fmt, spark = lists.fmt, lists.lists.sparkSession
-    total = lists.lists.agg(F.max("node").alias("max_id"), F.sum("outdeg").alias("links"), F.max("outdeg").alias("max_degree"), F.sum("nbits").alias("bits")).first()
+    made = cut(lists.lists.select("node", "outdeg", "nbits", "bits"))
+    total = made.agg(F.max("node").alias("max_id"), F.sum("outdeg").alias("links"), F.max("outdeg").alias("max_degree"), F.sum("nbits").alias("bits")).first()
     if total["max_id"] is None:
         raise ValueError("there are no lists to write")
-    final = fmt.variant == "final"
+    step = fmt.jump if fmt.variant == "final" else 1
     known = total.asDict() | {"bytes": (total["bits"] + 7) // 8, "entries": (total["max_id"] + 1) // fmt.jump + 1, "ws": fmt.ws, "jump": fmt.jump, "th": fmt.th}
+    ordered = made.select("node", "nbits", "bits").orderBy("node")
+    blocks = cut(ordered.mapInArrow(_blocks(step), "first bigint, nbits bigint, bits binary, starts binary"))
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, False)
     try:
         out.write(bytearray(_head(fmt) + struct.pack(f"<{len(NUMBERS[fmt.variant])}Q", *(known[n] for n in NUMBERS[fmt.variant]))))
-        buffer, start, seen = bytearray(), 0, -1
-        for row in lists.lists.select("node", "nbits").orderBy("node").toLocalIterator():
-            if not final or row["node"] % fmt.jump == 0:
-                buffer += struct.pack("<Q", start)
-            start, seen = start + row["nbits"], row["node"]
-            if len(buffer) > 1 << 20:
-                out.write(buffer)
-                buffer = bytearray()
-        if not final or (seen + 1) % fmt.jump == 0:
-            buffer += struct.pack("<Q", start)
-        out.write(buffer)
+        start = 0
+        for row in blocks.select("first", "nbits", "starts").orderBy("first").toLocalIterator():
+            out.write(bytearray((np.frombuffer(row["starts"], "<i8") + start).astype("<u8").tobytes()))
+            start += row["nbits"]
+        if (total["max_id"] + 1) % step == 0:
+            out.write(bytearray(struct.pack("<Q", start)))
         held, n = 0, 0
-        for row in lists.lists.select("node", "nbits", "bits").orderBy("node").toLocalIterator():
+        for row in blocks.select("first", "nbits", "bits").orderBy("first").toLocalIterator():
             held |= int.from_bytes(row["bits"], "little") << n
             n += row["nbits"]
-            if n > 1 << 16:
-                out.write(bytearray((held & (1 << n - n % 8) - 1).to_bytes(n // 8, "little")))
-                held, n = held >> n - n % 8, n % 8
+            out.write(bytearray((held & (1 << n - n % 8) - 1).to_bytes(n // 8, "little")))
+            held, n = held >> n - n % 8, n % 8
         out.write(bytearray(held.to_bytes((n + 7) // 8, "little")))
     finally:
         out.close()

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from strandgraph.operators.compress import SECTIONS, compress
+from strandgraph.sources import stream
 from strandgraph.sources.stream import read_stream, stream_edges, write_stream
 
 from .conftest import TOY
@@ -27,3 +28,14 @@ def test_files_read_back(edges, spark, variant, tmp_path):
     assert sorted((x.src, x.dst) for x in stream_edges(spark, str(tmp_path / "f"), variant).collect()) == sorted(pairs)
     with pytest.raises(Exception):
         write_stream(compress(edges(pairs), variant=variant), str(tmp_path / "f"))
+
+
+@pytest.mark.parametrize("variant", ["G", "final"])
+def test_blocks_make_the_same_file(edges, spark, variant, tmp_path, monkeypatch):
+    pairs = {(s, (s * 7 + k * k) % 500) for s in range(400) for k in range(s % 9)}
+    made = compress(edges(pairs), variant=variant, jump=3, chunk=50)
+    write_stream(made, str(tmp_path / "one"))
+    monkeypatch.setattr(stream, "BLOCK_BITS", 40)
+    write_stream(made, str(tmp_path / "many"))
+    assert (tmp_path / "one").read_bytes() == (tmp_path / "many").read_bytes()
+    assert sorted((x.src, x.dst) for x in stream_edges(spark, str(tmp_path / "many"), variant).collect()) == sorted(pairs)
