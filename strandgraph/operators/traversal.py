@@ -76,7 +76,7 @@ def pagerank(edges: DataFrame, iterations: int = 5, alpha: float = 0.15, compat:
     own = edges.select("src", "dst").repartition("src").persist()  # statistics, degrees and links without another shuffle
     nodes = links = None
     try:
-        n = basics.stats(own).first()["num_ids"]
+        n = basics.num_ids(own)
         if not n:
             return edges.sparkSession.createDataFrame([], "node bigint, rank double")
         degree = basics.out_degrees(own).withColumnRenamed("src", "of")
