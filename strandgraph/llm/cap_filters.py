@@ -41,6 +41,9 @@ DIRECTIONS, LISTED = 32, 96
 SCORES = 1 << 21
 #: Nodes of a block; a task holds two at most.
 BLOCK = 512
+#: Groups of at most so many nodes are verified together, and how many of their pairs at a time.
+SMALL = 24
+PAIRS = 1 << 15
 SEED = 11
 
 
@@ -126,58 +129,111 @@ def _listed(directions: int, kind: str, cosine: float = COSINE):
     return run
 
 
+def _lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n rows the least row that links (i, j) reach."""
+    label = np.arange(n)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, i, label[j])
+        np.minimum.at(lower, j, label[i])
+        lower = lower[lower]
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _unshared(group: np.ndarray, lists: pa.ListArray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs (i, j), each of rows of one group, have no element of their lists in common."""
+    sizes = lists.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    values = lists.flatten().to_numpy()
+    order = np.lexsort((values, group[row]))
+    row, of, values = row[order], group[row][order], values[order]
+    fresh = np.append(True, (of[1:] != of[:-1]) | (values[1:] != values[:-1]))[: len(row)]
+    number = np.cumsum(fresh) - 1  # of the element, over all groups; then within its group
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(row)])
+    column = number - np.repeat(number[first], np.diff(np.append(first, len(row))))
+    bits = np.zeros((len(sizes), (int(column.max(initial=0)) + 64) // 64), np.uint64)
+    np.bitwise_or.at(bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    step = max(1, PAIRS // bits.shape[1])
+    parts = [~(bits[i[k : k + step]] & bits[j[k : k + step]]).any(axis=1) for k in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def _candidates(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of each group, a bounded number at a time."""
+    for m in np.unique(sizes).tolist():
+        left, right = np.triu_indices(m, 1)
+        of, step = starts[sizes == m], max(1, PAIRS // max(1, len(left)))
+        for k in range(0, len(of), step) if m > 1 else ():
+            base = of[k : k + step, None]
+            yield (base + left).ravel(), (base + right).ravel()
+
+
 def _verify(cosine: float, kind: str):
-    def group(d: int, f: int, low: int, high: int, rows: dict[str, list]) -> pa.RecordBatch | None:
-        order = np.argsort(rows["node"])
-        node, mine = np.array(rows["node"])[order], np.array(rows["mine"])[order]
-        vectors = [np.frombuffer(rows["vector"][k], kind) for k in order]
-        x = _normalised(np.stack(vectors).astype(float))
-        near = np.triu(x @ x.T >= cosine, 1)
-        if low != high:
-            near &= mine[:, None] != mine[None, :]
-        i, j = np.nonzero(near)
+    def linked(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, apart: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows i < j of pairs that reach the cosine; apart: only those of different blocks count."""
+        found = [np.zeros((2, 0), np.int64)]
+        for i, j in _candidates(starts[sizes <= SMALL], sizes[sizes <= SMALL]):
+            chosen = np.einsum("kd,kd->k", x[i], x[j]) >= cosine
+            found.append(np.stack([i[chosen], j[chosen]]))
+        for a, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
+            found.append(np.stack(np.nonzero(np.triu(x[a : a + m] @ x[a : a + m].T >= cosine, 1))) + a)
+        i, j = np.concatenate(found, axis=1)
+        chosen = ~apart[i] | (mine[i] != mine[j])
+        return i[chosen], j[chosen]
+
+    def groups(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
+        """Links of whole groups of vectors of one length; starts are their first rows."""
+        node, mine, low, high = (batch.column(c).to_numpy() for c in ("node", "mine", "low", "high"))
+        sizes = np.diff(np.append(starts, len(node)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        order = np.lexsort((node, group))  # so that the least row is the least node
+        node, mine, apart = node[order], mine[order], low != high
+        vectors = batch.column("vector").to_pylist()
+        x = _normalised(np.frombuffer(b"".join([vectors[k] for k in order]), kind).reshape(len(node), -1).astype(float))
+        i, j = linked(x, starts, sizes, apart, mine)
         if not len(i):
             return None
-        lists = [rows["before"][k] for k in order]
-        sizes = [len(v) for v in lists]
-        before = np.concatenate(lists)
-        kinds, column = np.unique(before, return_inverse=True)
-        bits = np.zeros((len(node), max(1, (len(kinds) + 63) // 64)), np.uint64)
-        np.bitwise_or.at(bits, (np.repeat(np.arange(len(node)), sizes), column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
-        weight = np.array(rows["weight"], float)[order]
-        links = np.zeros(len(node))
-        for a in range(0, len(i), 1 << 16):
-            p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-            new = ~(bits[p] & bits[q]).any(axis=1)
-            links += np.bincount(p[new], weight[q[new]], len(node)) + np.bincount(q[new], weight[p[new]], len(node))
-        label = np.arange(len(node))
-        while True:
-            lower = label.copy()
-            np.minimum.at(lower, i, label[j])
-            np.minimum.at(lower, j, label[i])
-            lower = lower[lower]
-            if (lower == label).all():
-                break
-            label = lower
-        keep = (label != np.arange(len(node))) | (links > 0)
-        return pa.RecordBatch.from_arrays([pa.array(node[keep], pa.int64()), pa.array(links[keep].astype(np.int64)), pa.array(node[label][keep], pa.int64())], ["node", "links", "low"])
+        label = _lowest(len(node), i, j)
+        # only rows of pairs need their other filters
+        held, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        p, q = place[: len(i)], place[len(i) :]
+        links, weight = np.zeros(len(held)), batch.column("weight").to_numpy()[order][held].astype(float)
+        wide = sizes[group[held]] > SMALL
+        lists = batch.column("before").take(pa.array(order[held]))
+        for rows in [np.flatnonzero(~wide), *(np.flatnonzero(group[held] == g) for g in np.unique(group[held][wide]))]:
+            at = np.full(len(held), -1)
+            at[rows] = np.arange(len(rows))
+            own = at[p] >= 0
+            new = np.zeros(len(p), bool)
+            new[own] = _unshared(group[held][rows], lists.take(pa.array(rows)), at[p[own]], at[q[own]])
+            links += np.bincount(p[new], weight[q[new]], len(held)) + np.bincount(q[new], weight[p[new]], len(held))
+        keep = (label[held] != held) | (links > 0)
+        rows = held[keep]
+        return pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), pa.array(links[keep].astype(np.int64)), pa.array(node[label[rows]], pa.int64())], ["node", "links", "low"])
+
+    def split(rows: pa.RecordBatch, last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
+        """What the groups of rows give, the last one only if it is whole; and the rows that are left."""
+        key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("d", "filter", "low", "high")])
+        starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        end = rows.num_rows if last else int(starts[-1])
+        starts, out = starts[starts < end], []
+        for d in np.unique(key[0, :end]).tolist():
+            chosen = starts[key[0, starts] == d]
+            a, b = int(chosen[0]), int(np.searchsorted(key[0, :end], d, "right"))
+            if result := groups(rows.slice(a, b - a), chosen - a):
+                out.append(result)
+        return out, rows.slice(end)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, {}
+        left = None
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("d", "filter", "low", "high", "node", "weight", "vector", "mine")}
-            lists = batch.column("before")
-            flat, ends = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-            for k, own in enumerate(zip(columns["d"], columns["filter"], columns["low"], columns["high"])):
-                if own != key:
-                    if key and len(rows["node"]) > 1 and (out := group(*key, rows)):
-                        yield out
-                    key, rows = own, {c: [] for c in ("node", "weight", "vector", "mine", "before")}
-                for c in ("node", "weight", "vector", "mine"):
-                    rows[c].append(columns[c][k])
-                rows["before"].append(flat[ends[k] : ends[k + 1]])
-        if key and len(rows["node"]) > 1 and (out := group(*key, rows)):
-            yield out
+            if batch.num_rows:
+                out, left = split(pa.concat_batches([left, batch]) if left is not None and left.num_rows else batch, False)
+                yield from out
+        if left is not None and left.num_rows:
+            yield from split(left, True)[0]
 
     return run
 
@@ -195,13 +251,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     directions = max(4096, DIRECTIONS * classes.count())
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
     listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind, cosine), "node bigint, weight bigint, d int, vector binary, filters array<bigint>"))
-    entries = listed.select("node", "d", F.explode("filters").alias("filter"))  # each length has filters of its own
+    entries = listed.select("node", "d", F.posexplode("filters").alias("at", "filter"))  # each length has filters of its own
     sizes = cut(entries.groupBy("d", "filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = entries.join(sizes, ["d", "filter"]).select("d", "filter", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
+    dealt = entries.join(sizes, ["d", "filter"]).select("d", "filter", "at", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("d", "filter", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    before = F.filter("filters", lambda x: x < F.col("filter"))
+    dealt = dealt.select("d", "filter", "at", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    before = F.slice("filters", 1, F.col("at"))  # lists are sorted
     full = dealt.join(listed.drop("d"), "node").select("d", "filter", "low", "high", "node", "weight", "vector", "mine", before.alias("before"))
     full = full.repartition("d", "filter", "low", "high").sortWithinPartitions("d", "filter", "low", "high")
     found = cut(full.mapInArrow(_verify(cosine, kind), "node bigint, links bigint, low bigint"))

@@ -128,3 +128,34 @@ def test_best_are_the_best_directions(monkeypatch):
         for lo, hi, c in zip(code.edges, code.edges[1:], code.code):
             sums = (sums[:, :, None] + (turned[:, lo:hi] @ c.T)[:, None, :]).reshape(len(x), -1)
         assert code.best(x, 40).tolist() == np.sort(np.argsort(-sums, axis=1)[:, :40], axis=1).tolist()
+
+
+def test_pairs_without_a_common_element():
+    r = np.random.default_rng(4)
+    lists = [np.sort(r.choice(40, r.integers(0, 6), replace=False)).tolist() for _ in range(60)]
+    group = np.repeat(np.arange(6), 10)
+    i, j = np.array([(a, b) for a in range(60) for b in range(a + 1, 60) if group[a] == group[b]]).T
+    found = cap_filters._unshared(group, pa.array(lists, pa.list_(pa.int64())), i, j)
+    assert found.tolist() == [not set(lists[a]) & set(lists[b]) for a, b in zip(i, j)]
+    empty = cap_filters._unshared(group[:2], pa.array([[], []], pa.list_(pa.int64())), np.array([0]), np.array([1]))
+    assert empty.tolist() == [True]
+
+
+def test_groups_verified_together_or_alone(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    bases = r.standard_normal((40, 16))
+    rows = [(k, (bases[k % 40] + 0.1 * r.standard_normal(16)).tolist()) for k in range(700)]
+    rows += [(700 + k, r.standard_normal(3).tolist()) for k in range(80)]  # another length in the same batches
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    results = []
+    for small, batch in ((24, 10000), (0, 10000), (1 << 20, 10000), (24, 7)):
+        monkeypatch.setattr(cap_filters, "SMALL", small)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            results.append(sorted(map(tuple, cap_filters.near_vectors(docs).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(found == results[0] for found in results)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links = {(a, b) for a in range(780) for b in range(a + 1, 780) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95}
+    assert sum(x[1] for x in results[0]) <= 2 * len(links) and sum(x[1] for x in results[0]) >= 0.95 * 2 * len(links) > 0
