@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def anew(key: Column) -> Column:
+    """A whole-number key with its bits flipped. A join on it deals out both sides, also one that is summed up by the key, as only
+    then adaptive execution can split the rows of a hot key; a checkpoint of the sums would do so too, at a file a partition."""
+    return F.bitwise_not(key)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only, whatever the locale."""
     return F.translate(text, UPPER, LOWER)

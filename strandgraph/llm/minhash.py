@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, release, text_or_empty
+from .common import anew, cut, free_name, release, text_or_empty
 from .components import components
 from .word_hashes import Chunk, chunks, grams, mix
 
@@ -265,11 +265,9 @@ def _able(stars: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     pivots = stars.filter(pivot).select("hub", F.explode(F.sequence(F.lit(0), places - 1)).alias("task"), "node", F.lit(1).alias("side"))
     schema = "hub bigint, shingle bigint, node bigint, early boolean, apart boolean"
     first = cut(_in_tasks(members.unionByName(pivots), texts).mapInArrow(_by_task(_rare(n)), schema))
-    met = first.groupBy(F.col("hub").alias("h2"), F.col("shingle").alias("s2")).agg(
-        F.count(F.lit(1)).alias("rows"), F.max("early").alias("early"), F.max("apart").alias("apart")
-    )
-    met = met.filter("rows > 1 AND early AND apart").select("h2", "s2")
-    found = first.join(met, (F.col("hub") == F.col("h2")) & (F.col("shingle") == F.col("s2")))
+    met = first.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("rows"), F.max("early").alias("early"), F.max("apart").alias("apart"))
+    met = met.filter("rows > 1 AND early AND apart").select(anew(F.col("hub")).alias("h2"), anew(F.col("shingle")).alias("s2"))
+    found = first.join(met, (anew(F.col("hub")) == F.col("h2")) & (anew(F.col("shingle")) == F.col("s2")))
     found = found.select(F.col("hub").alias("h2"), F.col("node").alias("n2")).distinct()
     return cut(stars.join(found, (F.col("hub") == F.col("h2")) & (F.col("node") == F.col("n2")), "left_semi"))
 
@@ -281,15 +279,15 @@ def _stars(nodes: DataFrame) -> DataFrame:
     edited copies that is one near their origin, which most of them are linked with.
     """
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = cut(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    shared = cut(members.join(sizes, "bucket").select("bucket", "node", "size"))
-    weight = cut(shared.groupBy("node").agg(F.sum("size").alias("weight")))
-    weighed = shared.select("bucket", "node").join(weight.withColumnRenamed("node", "of"), F.col("node") == F.col("of"))
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(anew(F.col("bucket")).alias("b0"), "size")
+    shared = cut(members.join(sizes, anew(F.col("bucket")) == F.col("b0")).select("bucket", "node", "size"))
+    weight = shared.groupBy(F.col("node").alias("of")).agg(F.sum("size").alias("weight"))
+    weighed = shared.select("bucket", "node").join(weight, F.col("node") == F.col("of"))
     best = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"))).alias("best"))
-    hubs = cut(best.select(F.col("bucket").alias("b0"), (-F.col("best.less")).alias("hub")))
-    edges = cut(shared.select("bucket", "node").join(hubs, F.col("bucket") == F.col("b0")).select("hub", "node").distinct())
-    counts = cut(edges.groupBy(F.col("hub").alias("h0")).agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
-    return cut(edges.join(counts, F.col("hub") == F.col("h0")).select("hub", "node", "m"))
+    hubs = best.select(anew(F.col("bucket")).alias("b0"), (-F.col("best.less")).alias("hub"))
+    edges = shared.select("bucket", "node").join(hubs, anew(F.col("bucket")) == F.col("b0")).select("hub", "node").distinct()
+    counts = edges.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select(anew(F.col("hub")).alias("h0"), "m")
+    return cut(edges.join(counts, anew(F.col("hub")) == F.col("h0")).select("hub", "node", "m"))
 
 
 def _parts(m: str | Column) -> Column:
@@ -313,24 +311,24 @@ def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "t
     # each block of a star with its hub: all pairs of a block are compared at once, as its texts are there
     own = F.when(F.col("hub") == F.col("node"), F.sequence(F.lit(0), _parts("m") - 1)).otherwise(F.array(_dealt(_parts("m"))))
     first = stars.select("hub", F.explode(own).alias("task"), "node", F.lit(2).alias("side"))
-    links = _confirm(first, texts, n)
-    labels = components(links).select(F.col("node").alias("of"), "component")
+    labels = components(_confirm(first, texts, n)).select(F.col("node").alias("of"), "component")
     # what a larger star has outside its hub's component by now may link with members of other blocks
-    large = cut(stars.filter(F.col("m") > BLOCK).join(labels, F.col("node") == F.col("of"), "left").select("hub", "node", "m", F.coalesce("component", "node").alias("component")))
+    large = stars.filter(F.col("m") > BLOCK).join(labels, F.col("node") == F.col("of"), "left").select("hub", "node", "m", F.coalesce("component", "node").alias("component"))
     centre = large.filter("hub = node").select(F.col("hub").alias("h0"), F.col("component").alias("theirs"))
     judged = cut(large.join(centre, F.col("hub") == F.col("h0")).select("hub", "node", "m", (F.col("component") != F.col("theirs")).alias("apart")))
-    open_stars = cut(judged.filter("apart").select(F.col("hub").alias("h1")).distinct())
-    if not open_stars.isEmpty():
-        able = _able(judged.join(open_stars, F.col("hub") == F.col("h1"), "left_semi"), texts, n)
-        sizes = cut(able.groupBy(F.col("hub").alias("h1")).agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("k")).filter("k > 0"))
-        both = able.join(sizes, F.col("hub") == F.col("h1"))
+    if not judged.filter("apart").isEmpty():
+        open_stars = judged.filter("apart").select("hub").distinct().select(anew(F.col("hub")).alias("h1"))
+        able = _able(judged.join(open_stars, anew(F.col("hub")) == F.col("h1"), "left_semi"), texts, n)
+        sizes = able.groupBy("hub").agg(F.count(F.lit(1)).alias("all"), F.count_if("apart").alias("k")).filter("k > 0").select(anew(F.col("hub")).alias("h1"), "all", "k")
+        both = able.join(sizes, anew(F.col("hub")) == F.col("h1"))
         places, own = _parts("all"), _parts("k")
         rows = both.filter("apart").select("hub", "node", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), places - 1)).alias("j"), _dealt(own).alias("i"))
         columns = both.select("hub", "node", F.lit(1).alias("side"), _dealt(places).alias("j"), F.explode(F.sequence(F.lit(0), own - 1)).alias("i"))
         second = rows.unionByName(columns).select("hub", (F.col("i").cast("bigint") * (1 << 31) + F.col("j")).alias("task"), "node", "side")
-        labels = components(links.union(_confirm(second, texts, n))).select(F.col("node").alias("of"), "component")
+        so_far = labels.select(F.col("of").alias("a"), F.col("component").alias("b"))
+        labels = components(so_far.union(_confirm(second, texts, n))).select(F.col("node").alias("of"), "component")
     groups = nodes.select("d1", "d2", "node").join(labels, F.col("node") == F.col("of"), "left")
-    groups = cut(groups.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "node").alias("component")))
+    groups = groups.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "node").alias("component"))
     rows = sets.select("key", "n_shingles", "d1", "d2")
     at = (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")) & (F.col("n_shingles") > 0) & F.col("key").isNotNull()
     return rows.join(groups, at, "left").select("key", "n_shingles", F.coalesce("component", "key").alias("component"))

@@ -215,6 +215,16 @@ def test_pages_of_one_template_are_not_compared_with_all_others(documents, monke
     assert all_rows >= 300 and left.count() <= 0.1 * all_rows
 
 
+def test_few_checkpoints_besides_those_of_components(documents, monkeypatch):
+    """Each writes a file a partition, for which an executor may start several processes."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    made, write = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: made.append(1) or write(df))
+    rows = families(3)
+    assert found_near(documents(rows), 4) == brute_near(rows, 4)
+    assert len(made) <= 10
+
+
 def test_near_duplicates_of_hard_rows(documents):
     assert found_near(documents(HARD, extra=True), 4) == brute_near(HARD, 4)
     assert found_near(documents([]), 4) == []
