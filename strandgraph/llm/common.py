@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Hashable
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ SEPARATORS = " \t\n\x0b\x0c\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of a file of a gathered table, about.
+FILE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """cut(df) in files by its size, as hundreds of partitions may hold little and Hadoop's local file system starts processes for
+    each file. All partitions are made as they are and kept on the executors' disks; only then are they put together."""
+    held = df.select("*").persist(StorageLevel.DISK_ONLY)
+    try:
+        held.count()
+        size = held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()  # as measured, now that it's kept
+        return cut(held.coalesce(max(1, -(-size // FILE_BYTES))))
+    finally:
+        held.unpersist()
+
+
 def anew(key: Column) -> Column:
     """A whole-number key with its bits flipped. A join on it deals out both sides, also one that is summed up by the key, as only
     then adaptive execution can split the rows of a hot key; a checkpoint of the sums would do so too, at a file a partition."""

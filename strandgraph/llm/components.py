@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from . import common
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least id that each node of links (a, b) reaches. Nodes without links aren't in it."""
+def components(links: DataFrame, gather: bool = False) -> DataFrame:
+    """(node, component): the least id that each node of links (a, b) reaches. Nodes without links aren't in it. gather: checkpoints
+    have files by their size."""
+    cut = common.gathered if gather else common.cut
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     both = cut(both.distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))

@@ -32,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anew, cut, free_name, release, text_or_empty
+from .common import anew, free_name, release, text_or_empty
+from .common import gathered as cut
 from .components import components
 from .word_hashes import Chunk, chunks, grams, mix
 
@@ -305,13 +306,14 @@ def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "t
     filled = sets.filter("n_shingles > 0 AND key IS NOT NULL")
     nodes = cut(filled.groupBy("d1", "d2").agg(F.min("key").alias("node"), F.first("bands").alias("bands")))
     stars = _stars(nodes)
-    wanted = stars.select(F.col("node").alias("want")).distinct()
+    # they grow with the input, so they're never broadcast, though a gathered table's size is known and small ones would be
+    wanted = stars.select(F.col("node").alias("want")).distinct().hint("merge")
     packed = keyed.filter("key IS NOT NULL").select("key", "the_text").mapInArrow(_pack, "key bigint, blob binary")
     texts = cut(packed.join(wanted, F.col("key") == F.col("want"), "left_semi"))
     # each block of a star with its hub: all pairs of a block are compared at once, as its texts are there
     own = F.when(F.col("hub") == F.col("node"), F.sequence(F.lit(0), _parts("m") - 1)).otherwise(F.array(_dealt(_parts("m"))))
     first = stars.select("hub", F.explode(own).alias("task"), "node", F.lit(2).alias("side"))
-    labels = components(_confirm(first, texts, n)).select(F.col("node").alias("of"), "component")
+    labels = components(_confirm(first, texts, n), gather=True).select(F.col("node").alias("of"), "component")
     # what a larger star has outside its hub's component by now may link with members of other blocks
     large = stars.filter(F.col("m") > BLOCK).join(labels, F.col("node") == F.col("of"), "left").select("hub", "node", "m", F.coalesce("component", "node").alias("component"))
     centre = large.filter("hub = node").select(F.col("hub").alias("h0"), F.col("component").alias("theirs"))
@@ -326,7 +328,7 @@ def near_duplicates(docs: DataFrame, n: int, key: str = "doc_id", text: str = "t
         columns = both.select("hub", "node", F.lit(1).alias("side"), _dealt(places).alias("j"), F.explode(F.sequence(F.lit(0), own - 1)).alias("i"))
         second = rows.unionByName(columns).select("hub", (F.col("i").cast("bigint") * (1 << 31) + F.col("j")).alias("task"), "node", "side")
         so_far = labels.select(F.col("of").alias("a"), F.col("component").alias("b"))
-        labels = components(so_far.union(_confirm(second, texts, n))).select(F.col("node").alias("of"), "component")
+        labels = components(so_far.union(_confirm(second, texts, n)), gather=True).select(F.col("node").alias("of"), "component")
     groups = nodes.select("d1", "d2", "node").join(labels, F.col("node") == F.col("of"), "left")
     groups = groups.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("component", "node").alias("component"))
     rows = sets.select("key", "n_shingles", "d1", "d2")

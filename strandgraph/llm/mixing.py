@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import free_name, gathered
 
 SEED = 17
 #: The rates are broadcast while their names and quantiles have at most so many bytes, else joined by a salted key.
@@ -81,7 +81,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str
         spark = docs.sparkSession
         given = spark.createDataFrame([(k, float(v)) for k, v in weights.items()], "mix_given string, mix_weight double")
         weighed = counts.join(given, counts["mix_source"].eqNullSafe(given["mix_given"])).drop("mix_given")
-    weighed = cut(weighed)
+    weighed = gathered(weighed)  # a row a source
     total = weighed.agg(F.sum("mix_n").alias("n"), F.sum("mix_weight").alias("weights")).first()  # two numbers
     rate = F.col("mix_weight") * F.lit(total["n"] or 0) / F.lit(total["weights"] or 1.0) / F.col("mix_n")
     return weighed.select("mix_source", rate.alias("mix_rate"))

@@ -1,12 +1,13 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
-from strandgraph.llm import minhash, substring_dedup
+from strandgraph.llm import common, minhash, substring_dedup
 
 from .conftest import HARD, prose
 
@@ -225,6 +226,42 @@ def test_few_checkpoints_besides_those_of_components(documents, monkeypatch):
     assert len(made) <= 10
 
 
+@pytest.fixture
+def checkpoint_files(spark):
+    """Counts the files that checkpoints have; shuffles have 48 partitions meanwhile, however small they are."""
+    own = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    common.with_checkpoints(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    yield lambda: sum(1 for _ in folder.rglob("part-*"))
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_small_tables_have_few_checkpoint_files(documents, checkpoint_files, monkeypatch):
+    """Hadoop's local file system starts processes for each file, and those share the executor's memory for a moment."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows, before = families(3), checkpoint_files()
+    assert found_near(documents(rows), 4) == brute_near(rows, 4)
+    assert checkpoint_files() - before <= 48
+
+
+def test_gathered_tables_are_whole_and_nothing_is_held(spark, checkpoint_files, monkeypatch):
+    rows = spark.range(20_000).repartition("id").selectExpr("id", "array(id, -id) AS list", "if(id % 7 = 0, null, md5(string(id))) AS digest")
+    expected = sorted(map(tuple, rows.collect()))
+    files = []
+    for size in (1 << 30, 100_000, 1):
+        monkeypatch.setattr(common, "FILE_BYTES", size)
+        before = checkpoint_files()
+        assert sorted(map(tuple, common.gathered(rows).collect())) == expected
+        files.append(checkpoint_files() - before)
+    assert files[0] == 1 < files[1] < files[2] == 48
+    assert common.gathered(rows.filter("id < 0")).collect() == []
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+
+
 def test_near_duplicates_of_hard_rows(documents):
     assert found_near(documents(HARD, extra=True), 4) == brute_near(HARD, 4)
     assert found_near(documents([]), 4) == []
