@@ -8,10 +8,11 @@ There are DIRECTIONS for each vector, but in few dimensions no more than leave h
 with more of them, two vectors at that cosine would find other directions nearer and share none.
 
 1. Equal vectors are one node with a weight, counted before the shuffle.
-2. Nodes are joined on filters. A filter's nodes are cut into blocks by a hash, and each pair of blocks is one task, so none
-   holds more than two blocks, however many nodes meet a filter.
-3. Each task verifies by cosines in double precision. A pair counts at the smallest filter that both have, so once; no
-   pairs leave a task, only how many links each node has there, and its least node by links within the task.
+2. Nodes are joined on filters. A filter's nodes are cut into blocks by a hash, and each pair of blocks is one group, so none
+   holds more than two blocks, however many nodes meet a filter. Groups are dealt out to tasks by a hash; a node goes once to
+   each task that has groups of it, and there are as many tasks as keep what one holds at about TASK_BYTES.
+3. Each group is verified by cosines in double precision. A pair counts at the smallest filter that both have, so once; no
+   pairs leave a task, only how many links each node has in a group, and its least node by links within the group.
 4. Those make components.
 
 Defined results: vectors that are null, empty or zero or hold a null, a NaN or an infinity link with nothing; vectors of
@@ -28,10 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, gathered
 from .components import components
 
 COSINE = 0.95
@@ -41,6 +43,9 @@ DIRECTIONS, LISTED = 32, 96
 SCORES = 1 << 21
 #: Nodes of a block; a task holds two at most.
 BLOCK = 512
+#: Bytes of the nodes and entries that a task of the verification holds, about, and how many entries are verified at a time.
+TASK_BYTES = 3 << 25
+ENTRIES = 1 << 14
 #: Groups of at most so many nodes are verified together, and how many of their pairs at a time.
 SMALL = 24
 PAIRS = 1 << 15
@@ -109,8 +114,22 @@ def _normalised(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _numbers(directions: int) -> str:
+    """The type of the directions' numbers; codes have a few more than asked for, as all blocks have equally many words."""
+    return "int" if directions <= 1 << 30 else "bigint"
+
+
+def _tasks(nodes: int, entries: int, length: float, kind: str, most: int) -> int:
+    """Among how many tasks groups are dealt: most, or fewer if they have little, or more if they hold beyond TASK_BYTES."""
+    node, tasks = length * np.dtype(kind).itemsize + 8 * LISTED + 64, max(1, min(most, math.ceil(entries / (4 * ENTRIES))))
+    while nodes * -math.expm1(-entries / max(1, nodes) / tasks) * node + entries / tasks * 64 > TASK_BYTES:
+        tasks += math.ceil(tasks / 8)
+    return tasks
+
+
 def _listed(directions: int, kind: str, cosine: float = COSINE):
     """kind: the type in which vectors go on, the one that they had."""
+    numbers = pa.list_(pa.int32() if _numbers(directions) == "int" else pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +141,7 @@ def _listed(directions: int, kind: str, cosine: float = COSINE):
                 for k, ids in zip(rows, code(d, directions, cosine).best(x)):
                     lists[k] = ids
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(map(len, vectors)), pa.int32()), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(list(map(len, vectors)), pa.int32()), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, numbers)],
                 ["node", "weight", "d", "vector", "filters"],
             )
 
@@ -170,6 +189,39 @@ def _candidates(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndar
             yield (base + left).ravel(), (base + right).ravel()
 
 
+class _Nodes:
+    """The nodes of a task whose vectors have one length, and their entries."""
+
+    def __init__(self, kind: str):
+        self.kind, self.parts = kind, []
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Keeps what is needed of the rows in arrays, so that a task doesn't hold its batches too."""
+        vectors = np.frombuffer(b"".join(rows.column("vector").to_pylist()), self.kind).reshape(rows.num_rows, -1)
+        filters = rows.column("filters").flatten().to_numpy().reshape(rows.num_rows, -1)
+        met = rows.column("met")
+        row = np.repeat(np.arange(rows.num_rows, dtype=np.int32), met.value_lengths().to_numpy())
+        held = [rows.column("node").to_numpy(), rows.column("weight").to_numpy(), vectors, filters, row, *(x.to_numpy() for x in met.flatten().flatten())]
+        self.parts.append([x.copy() for x in held])
+
+    def entries(self) -> list[np.ndarray]:
+        """(row, filter, low, high, mine) of each filter that a node meets here, by filter, blocks and node."""
+        first = 0
+        for part in self.parts:
+            part[4] += first
+            first += len(part[0])
+        columns = [np.concatenate([part.pop() for part in self.parts]) for _ in range(9)][::-1]  # popped, so that parts go as they are joined
+        self.node, self.weight, self.vectors, self.filters, row, number, low, high, mine = columns
+        order = np.lexsort((self.node[row], high, low, number))
+        return [x[order] for x in (row, number, low, high, mine)]
+
+    def before(self, row: np.ndarray, number: np.ndarray) -> pa.ListArray:
+        """Of each row the filters before the one of this number."""
+        filters = self.filters[row]
+        lower = filters < number[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lower.sum(axis=1))), pa.int32()), pa.array(filters[lower]))
+
+
 def _verify(cosine: float, kind: str):
     def linked(x: np.ndarray, starts: np.ndarray, sizes: np.ndarray, apart: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The rows i < j of pairs that reach the cosine; apart: only those of different blocks count."""
@@ -183,25 +235,21 @@ def _verify(cosine: float, kind: str):
         chosen = ~apart[i] | (mine[i] != mine[j])
         return i[chosen], j[chosen]
 
-    def groups(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch | None:
-        """Links of whole groups of vectors of one length; starts are their first rows."""
-        node, mine, low, high = (batch.column(c).to_numpy() for c in ("node", "mine", "low", "high"))
-        sizes = np.diff(np.append(starts, len(node)))
+    def groups(nodes: _Nodes, row: np.ndarray, number: np.ndarray, mine: np.ndarray, apart: np.ndarray, starts: np.ndarray) -> pa.RecordBatch | None:
+        """Links of whole groups of nodes, each in the order of its nodes; starts are their first places, number is each one's filter."""
+        sizes = np.diff(np.append(starts, len(row)))
         group = np.repeat(np.arange(len(starts)), sizes)
-        order = np.lexsort((node, group))  # so that the least row is the least node
-        node, mine, apart = node[order], mine[order], low != high
-        vectors = batch.column("vector").to_pylist()
-        x = _normalised(np.frombuffer(b"".join([vectors[k] for k in order]), kind).reshape(len(node), -1).astype(float))
-        i, j = linked(x, starts, sizes, apart, mine)
+        node = nodes.node[row]
+        i, j = linked(_normalised(nodes.vectors[row].astype(float)), starts, sizes, apart, mine)
         if not len(i):
             return None
         label = _lowest(len(node), i, j)
         # only rows of pairs need their other filters
         held, place = np.unique(np.concatenate([i, j]), return_inverse=True)
         p, q = place[: len(i)], place[len(i) :]
-        links, weight = np.zeros(len(held)), batch.column("weight").to_numpy()[order][held].astype(float)
+        links, weight = np.zeros(len(held)), nodes.weight[row[held]].astype(float)
         wide = sizes[group[held]] > SMALL
-        lists = batch.column("before").take(pa.array(order[held]))
+        lists = nodes.before(row[held], number[held])
         for rows in [np.flatnonzero(~wide), *(np.flatnonzero(group[held] == g) for g in np.unique(group[held][wide]))]:
             at = np.full(len(held), -1)
             at[rows] = np.arange(len(rows))
@@ -213,27 +261,22 @@ def _verify(cosine: float, kind: str):
         rows = held[keep]
         return pa.RecordBatch.from_arrays([pa.array(node[rows], pa.int64()), pa.array(links[keep].astype(np.int64)), pa.array(node[label[rows]], pa.int64())], ["node", "links", "low"])
 
-    def split(rows: pa.RecordBatch, last: bool) -> tuple[list[pa.RecordBatch], pa.RecordBatch]:
-        """What the groups of rows give, the last one only if it is whole; and the rows that are left."""
-        key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("d", "filter", "low", "high")])
-        starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
-        end = rows.num_rows if last else int(starts[-1])
-        starts, out = starts[starts < end], []
-        for d in np.unique(key[0, :end]).tolist():
-            chosen = starts[key[0, starts] == d]
-            a, b = int(chosen[0]), int(np.searchsorted(key[0, :end], d, "right"))
-            if result := groups(rows.slice(a, b - a), chosen - a):
-                out.append(result)
-        return out, rows.slice(end)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = None
+        by_length: dict[int, _Nodes] = {}
         for batch in batches:
-            if batch.num_rows:
-                out, left = split(pa.concat_batches([left, batch]) if left is not None and left.num_rows else batch, False)
-                yield from out
-        if left is not None and left.num_rows:
-            yield from split(left, True)[0]
+            for d in pc.unique(batch.column("d")).to_pylist():
+                by_length.setdefault(d, _Nodes(kind)).add(batch.filter(pc.equal(batch.column("d"), d)))
+        for d in sorted(by_length):
+            nodes = by_length.pop(d)
+            row, number, low, high, mine = nodes.entries()
+            starts = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            ends, a = np.append(starts, len(row)), 0
+            while a < len(starts):  # whole groups, ENTRIES at a time or one
+                b = max(a + 1, int(np.searchsorted(ends, ends[a] + ENTRIES, "right")) - 1)
+                k = slice(int(ends[a]), int(ends[b]))
+                if result := groups(nodes, row[k], number[k], mine[k], low[k] != high[k], starts[a:b] - starts[a]):
+                    yield result
+                a = b
 
     return run
 
@@ -247,26 +290,31 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     rows = rows.select("key", F.when(usable, F.col("v")).alias("v"))
     rows = rows.select("key", "v", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("second"), "v").alias("k2"))
     classes = rows.filter("v IS NOT NULL").groupBy("k1", "k2").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("weight"), F.first("v").alias("v"))
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    directions = max(4096, DIRECTIONS * classes.count())
+    classes = gathered(classes.withColumn("node", F.monotonically_increasing_id()))
+    nodes, length = classes.agg(F.count(F.lit(1)), F.avg(F.size("v"))).first()
+    directions = max(4096, DIRECTIONS * nodes)
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
-    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind, cosine), "node bigint, weight bigint, d int, vector binary, filters array<bigint>"))
-    entries = listed.select("node", "d", F.posexplode("filters").alias("at", "filter"))  # each length has filters of its own
-    sizes = cut(entries.groupBy("d", "filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
+    fields = f"node bigint, weight bigint, d int, vector binary, filters array<{_numbers(directions)}>"
+    listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind, cosine), fields))
+    entries = listed.select("node", "d", F.explode("filters").alias("filter"))  # each length has filters of its own
+    sizes = gathered(entries.groupBy("d", "filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = entries.join(sizes, ["d", "filter"]).select("d", "filter", "at", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
+    met = sizes.agg(F.sum(F.col("m") * parts)).first()[0] or 0
+    tasks = _tasks(nodes, met, length or 0, kind, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = entries.join(sizes, ["d", "filter"]).select("d", "filter", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("d", "filter", "at", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    before = F.slice("filters", 1, F.col("at"))  # lists are sorted
-    full = dealt.join(listed.drop("d"), "node").select("d", "filter", "low", "high", "node", "weight", "vector", "mine", before.alias("before"))
-    full = full.repartition("d", "filter", "low", "high").sortWithinPartitions("d", "filter", "low", "high")
-    found = cut(full.mapInArrow(_verify(cosine, kind), "node bigint, links bigint, low bigint"))
+    dealt = dealt.select("d", "filter", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    task = F.pmod(F.xxhash64("d", "filter", "low", "high"), F.lit(tasks)).cast("int")
+    dealt = dealt.select("node", task.alias("task"), F.struct("filter", "low", "high", "mine").alias("entry")).repartition("node")
+    full = dealt.groupBy("node", "task").agg(F.collect_list("entry").alias("met")).join(listed, "node")
+    full = full.repartitionById(tasks, "task").select("node", "weight", "d", "vector", "filters", "met")
+    found = gathered(full.mapInArrow(_verify(cosine, kind), "node bigint, links bigint, low bigint"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    labels = components(found.select(F.col("node").alias("a"), F.col("low").alias("b")), gather=True)
     of = classes.select("k1", "k2", "node", "first", "weight").join(linked, "node", "left")
     of = of.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("least"))
     of = of.join(least, F.col("component") == F.col("c"))
-    of = cut(of.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least"))
+    of = of.select(F.col("k1").alias("e1"), F.col("k2").alias("e2"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "least")
     at = (F.col("k1") == F.col("e1")) & (F.col("k2") == F.col("e2")) & F.col("v").isNotNull()
-    return rows.join(of, at, "left").select("key", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("least", "key").alias("component"))
+    return gathered(rows.join(of, at, "left").select("key", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("least", "key").alias("component")))

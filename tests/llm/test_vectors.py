@@ -1,11 +1,13 @@
 import math
+import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from strandgraph.llm import cap_filters
+from strandgraph.llm import cap_filters, common
 
 
 def clusters(seed, d=64, n=12):
@@ -159,3 +161,50 @@ def test_groups_verified_together_or_alone(spark, monkeypatch):
     unit = [np.array(v) / np.linalg.norm(v) for _, v in rows]
     links = {(a, b) for a in range(780) for b in range(a + 1, 780) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95}
     assert sum(x[1] for x in results[0]) <= 2 * len(links) and sum(x[1] for x in results[0]) >= 0.95 * 2 * len(links) > 0
+
+
+def test_tasks_are_bounded_and_get_a_vector_once(spark, tmp_path, monkeypatch):
+    """However many filters a vector meets, and whatever the number of shuffle partitions."""
+    x = np.concatenate([clusters(seed) for seed in (5, 6, 7)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    expected = sorted(map(tuple, cap_filters.near_vectors(df).collect()))
+    verify, folder = cap_filters._verify, str(tmp_path)
+
+    def watched(*options):
+        run = verify(*options)
+
+        def watch(batches):
+            held = [batch for batch in batches if batch.num_rows]
+            nodes = [node for batch in held for node in batch.column("node").to_pylist()]
+            if held:
+                Path(folder, str(uuid.uuid4())).write_text(f"{len(nodes)} {len(set(nodes))} {sum(batch.nbytes for batch in held)}")
+            yield from run(iter(held))
+
+        return watch
+
+    monkeypatch.setattr(cap_filters, "_verify", watched)
+    monkeypatch.setattr(cap_filters, "TASK_BYTES", 1 << 18, raising=False)
+    assert sorted(map(tuple, cap_filters.near_vectors(df).collect())) == expected
+    tasks = [[int(n) for n in p.read_text().split()] for p in tmp_path.iterdir()]
+    assert len(tasks) > 8 and all(rows == nodes and size <= 1 << 19 for rows, nodes, size in tasks)
+
+
+def test_few_checkpoint_files(spark):
+    """Hadoop's local file system starts processes for each file, and those share the executor's memory for a moment."""
+    x = clusters(9)
+    near, label = brute(x)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>").repartition(48)
+    common.with_checkpoints(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    own = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files = {k: spark.conf.get(k) for k in own}, sum(1 for _ in folder.rglob("part-*"))
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        rows = cap_filters.near_vectors(df).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(r.n_links for r in rows) >= 0.98 * near.sum() and np.mean([r.component == label[r.key] for r in rows]) > 0.98
+    assert sum(1 for _ in folder.rglob("part-*")) - files <= 48
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
