@@ -9,8 +9,9 @@ with more of them, two vectors at that cosine would find other directions nearer
 
 1. Equal vectors are one node with a weight, counted before the shuffle.
 2. Nodes are joined on filters. A filter's nodes are cut into blocks by a hash, and each pair of blocks is one group, so none
-   holds more than two blocks, however many nodes meet a filter. Groups are dealt out to tasks by a hash; a node goes once to
-   each task that has groups of it, and there are as many tasks as keep what one holds at about TASK_BYTES.
+   holds more than two blocks, however many nodes meet a filter. Groups are dealt out to tasks by a hash of their
+   directions' first words, which a vector's directions have in common; a node goes once to each task that has groups of it,
+   and there are as many tasks as keep what one holds at about TASK_BYTES.
 3. Each group is verified by cosines in double precision. A pair counts at the smallest filter that both have, so once; no
    pairs leave a task, only how many links each node has in a group, and its least node by links within the group.
 4. Those make components.
@@ -60,6 +61,8 @@ class Code:
         # blocks of few dimensions and codes of few words spread the directions unevenly
         self.blocks = min(max(1, d // 4), 2 if directions <= 1 << 30 or d < 24 else 3 if directions <= 1 << 40 else 4)
         self.words = max(2, math.ceil(directions ** (1 / self.blocks)))
+        # directions of one band share the first words, so a vector's are in fewer bands than there are of them
+        self.band = math.isqrt(self.words**self.blocks) if self.blocks > 1 else 1
         self.turn = np.linalg.qr(rng.standard_normal((d, d)))[0]
         self.edges = [d * b // self.blocks for b in range(self.blocks + 1)]
         self.code = []
@@ -119,10 +122,11 @@ def _numbers(directions: int) -> str:
     return "int" if directions <= 1 << 30 else "bigint"
 
 
-def _tasks(nodes: int, entries: int, length: float, kind: str, most: int) -> int:
-    """Among how many tasks groups are dealt: most, or fewer if they have little, or more if they hold beyond TASK_BYTES."""
+def _tasks(nodes: int, copies: float, entries: int, length: float, kind: str, most: int) -> int:
+    """Among how many tasks groups are dealt: most, or fewer if they have little, or more if they hold beyond TASK_BYTES. copies: of
+    how many bands a node has groups."""
     node, tasks = length * np.dtype(kind).itemsize + 8 * LISTED + 64, max(1, min(most, math.ceil(entries / (4 * ENTRIES))))
-    while nodes * -math.expm1(-entries / max(1, nodes) / tasks) * node + entries / tasks * 64 > TASK_BYTES:
+    while nodes * -math.expm1(-copies / tasks) * node + entries / tasks * 64 > TASK_BYTES:
         tasks += math.ceil(tasks / 8)
     return tasks
 
@@ -135,14 +139,16 @@ def _listed(directions: int, kind: str, cosine: float = COSINE):
         for batch in batches:
             vectors = [np.array(v, float) for v in batch.column(2).to_pylist()]
             lists: list = [None] * len(vectors)
+            bands: list = [1] * len(vectors)
             for d in {len(v) for v in vectors}:
                 rows = [k for k, v in enumerate(vectors) if len(v) == d]
                 x = _normalised(np.stack([vectors[k] for k in rows]))
-                for k, ids in zip(rows, code(d, directions, cosine).best(x)):
-                    lists[k] = ids
+                made = code(d, directions, cosine)
+                for k, ids in zip(rows, made.best(x)):
+                    lists[k], bands[k] = ids, made.band
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(list(map(len, vectors)), pa.int32()), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, numbers)],
-                ["node", "weight", "d", "vector", "filters"],
+                [batch.column(0), batch.column(1), pa.array(list(map(len, vectors)), pa.int32()), pa.array([v.astype(kind).tobytes() for v in vectors], pa.binary()), pa.array(lists, numbers), pa.array(bands, pa.int64())],
+                ["node", "weight", "d", "vector", "filters", "band"],
             )
 
     return run
@@ -294,19 +300,21 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     nodes, length = classes.agg(F.count(F.lit(1)), F.avg(F.size("v"))).first()
     directions = max(4096, DIRECTIONS * nodes)
     kind = "<f4" if dict(vectors.dtypes)[vector] == "array<float>" else "<f8"
-    fields = f"node bigint, weight bigint, d int, vector binary, filters array<{_numbers(directions)}>"
+    fields = f"node bigint, weight bigint, d int, vector binary, filters array<{_numbers(directions)}>, band bigint"
     listed = cut(classes.select("node", "weight", "v").mapInArrow(_listed(directions, kind, cosine), fields))
-    entries = listed.select("node", "d", F.explode("filters").alias("filter"))  # each length has filters of its own
+    entries = listed.select("node", "d", "band", F.explode("filters").alias("filter"))  # each length has filters of its own
     sizes = gathered(entries.groupBy("d", "filter").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"))
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     met = sizes.agg(F.sum(F.col("m") * parts)).first()[0] or 0
-    tasks = _tasks(nodes, met, length or 0, kind, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = entries.join(sizes, ["d", "filter"]).select("d", "filter", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
+    copies = listed.agg(F.avg(F.size(F.array_distinct(F.transform("filters", lambda f: F.floor(f / F.col("band"))))))).first()[0] or 0
+    copies *= max(1, met / (LISTED * max(1, nodes)))  # a node of many blocks meets those of each filter
+    tasks = _tasks(nodes, copies, met, length or 0, kind, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = entries.join(sizes, ["d", "filter"]).select("d", "filter", "band", "node", F.pmod(F.xxhash64("node"), parts).cast("int").alias("mine"), parts.alias("parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("d", "filter", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    task = F.pmod(F.xxhash64("d", "filter", "low", "high"), F.lit(tasks)).cast("int")
+    dealt = dealt.select("d", "filter", "band", "node", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    task = F.pmod(F.xxhash64("d", F.floor(F.col("filter") / F.col("band")), "low", "high"), F.lit(tasks)).cast("int")
     dealt = dealt.select("node", task.alias("task"), F.struct("filter", "low", "high", "mine").alias("entry")).repartition("node")
-    full = dealt.groupBy("node", "task").agg(F.collect_list("entry").alias("met")).join(listed, "node")
+    full = dealt.groupBy("node", "task").agg(F.collect_list("entry").alias("met")).join(listed.drop("band"), "node")
     full = full.repartitionById(tasks, "task").select("node", "weight", "d", "vector", "filters", "met")
     found = gathered(full.mapInArrow(_verify(cosine, kind), "node bigint, links bigint, low bigint"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -208,3 +208,12 @@ def test_few_checkpoint_files(spark):
     assert sum(r.n_links for r in rows) >= 0.98 * near.sum() and np.mean([r.component == label[r.key] for r in rows]) > 0.98
     assert sum(1 for _ in folder.rglob("part-*")) - files <= 48
     assert spark.sparkContext._jsc.sc().getPersistentRDDs().isEmpty()
+
+
+@pytest.mark.parametrize("d", [8, 64, 384])
+def test_filters_of_a_vector_are_of_few_bands(d):
+    """A vector goes to a task for each band at most, not for each of its 96 filters."""
+    x, _ = pairs(d, d, 100, 0.9)
+    code = cap_filters.code(d, cap_filters.DIRECTIONS * 1_000_000)
+    found = code.best(x) // code.band
+    assert np.mean([len(np.unique(bands)) for bands in found]) <= 40 and found.max() >= 500
